@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,16 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch whose texts have about so many bytes together; one text is never cut."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+    begin, total = 0, 0
+    for i, x in enumerate(size.tolist()):
+        if total and total + x > most:
+            yield begin, i
+            begin, total = i, 0
+        total += x
+    if begin < len(size):
+        yield begin, len(size)
