@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from . import crs
@@ -120,14 +121,21 @@ def wkb_predicate(op: str, wkb: Column, g: Geometry) -> Column:
     return found(wkb)
 
 
-@pandas_udf("struct<minx: double, miny: double, maxx: double, maxy: double, empty: boolean>")
-def envelope(blobs: pd.Series) -> pd.DataFrame:
+_ENVELOPE = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("minx", "miny", "maxx", "maxy")), T.StructField("empty", T.BooleanType())])
+
+
+def envelope(c: Column) -> Column:
     """Envelope ordinates and emptiness of WKB or GeoPackage blobs."""
-    rows = []
-    for b in blobs:
-        e = read_wkb(bytes(b)).envelope if b is not None else None
-        rows.append((*(e or (None,) * 4), None if b is None else e is None))
-    return pd.DataFrame(rows, columns=["minx", "miny", "maxx", "maxy", "empty"])
+
+    @pandas_udf(_ENVELOPE)
+    def bounds(blobs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b in blobs:
+            e = read_wkb(bytes(b)).envelope if b is not None else None
+            rows.append((*(e or (None,) * 4), None if b is None else e is None))
+        return pd.DataFrame(rows, columns=_ENVELOPE.names)
+
+    return bounds(c)
 
 
 def st_min_x(c: Column) -> Column:
