@@ -4,16 +4,17 @@
    word shingles, the keys of its MinHash bands and its odd sketch: the MinHash samples folded into a
    parity bitmap.
 2. Documents with the same set are one class. Only its smallest doc_id goes on.
-3. In each bucket of a band, every class is paired with the bucket's smallest one, not with all others.
-   XOR population counts of the odd sketches estimate the similarity of a pair; pairs far below the
-   threshold go.
-4. The rest is confirmed on full sets, read from the texts again, and linked classes are joined to
-   components.
-5. Where a bucket still spans several components, the pairs between them that were not yet tested are
-   estimated and confirmed in the same way. Members of one component need no further pair.
-
-Nothing is capped: a bucket of any size is split into blocks, and a centre with many partners is dealt
-to several tasks by the amount of text.
+3. In each bucket of a band, every class is paired with one centre, the class that shares most buckets, and
+   not with all others. XOR population counts of the odd sketches estimate the similarity of a pair; pairs
+   far below the threshold go. The rest is confirmed on full sets, read from the texts again, and linked
+   classes are joined to components.
+4. All classes that met in buckets of one centre are its ball: any two classes of a bucket are in one. Where a
+   ball still spans several components, its members are compared in blocks, by their sketches first. Members
+   that look similar to one of another component are compared on full sets, block by block as a matrix
+   product, and only the links that join components leave the task, fewer than it has members.
+
+Nothing is capped: a ball of any size is split into blocks, and a centre with many partners is dealt to
+several tasks by the amount of text. Pairs are never written out within a block.
 """
 
 from __future__ import annotations
@@ -40,8 +41,9 @@ SKETCH_BITS = 256
 MARGIN = 0.3
 #: Shingles of partners that one task confirms against one centre.
 TASK_SHINGLES = 2_000_000
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2_000
+#: Members of a ball, and their shingles, that one task compares with as many others.
+BLOCK = 500
+BLOCK_SHINGLES = 500_000
 
 U64 = np.uint64
 _rng = np.random.RandomState(20240607)
@@ -191,30 +193,75 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("centre", "part").applyInArrow(_confirm(percent), "a long, b long")
 
 
-def _between(percent: int):
-    """Pairs of a block of one bucket: of different components, sizes near, few sketch bits apart."""
+def _alike_members(percent: int):
+    """Members of a block that look similar to one of another component: sizes near, few sketch bits apart."""
     most = most_differing(percent / 100)
 
-    def between(group: pa.Table) -> pa.Table:
-        col = {c: group.column(c).to_numpy() for c in ("id", "n", "component", "side", *SKETCH)}
+    def alike(group: pa.Table) -> pa.Table:
+        col = {c: group.column(c).to_numpy() for c in ("n", "component", "side", *SKETCH)}
         sketch = np.stack([col[s] for s in SKETCH], axis=1).view(U64)
-        left = np.flatnonzero(col["side"] != 2)
         right = np.flatnonzero(col["side"] != 1)
-        found: list[np.ndarray] = []
-        for i in left.tolist():
+        found = np.zeros(len(sketch), bool)
+        for i in np.flatnonzero(col["side"] != 2).tolist():
             n = col["n"][right]
             near = right[
                 (col["component"][right] != col["component"][i])
                 & (np.minimum(n, col["n"][i]) * 100 >= np.maximum(n, col["n"][i]) * percent)
             ]
-            if len(near):
-                near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= most]
-                a, b = np.minimum(col["id"][i], col["id"][near]), np.maximum(col["id"][i], col["id"][near])
-                found.append(np.stack([a, b], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return between
+            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= most]
+            found[near] = True
+            found[i] |= len(near) > 0
+        return group.select(["centre", "x", "y", "id", "component"]).filter(pa.array(found))
+
+    return alike
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, as products of a 0-1 matrix, some columns at a time."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[inverse] > 1
+    row, place = row[shared], (np.cumsum(count > 1) - 1)[inverse[shared]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    cuts = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else 0) + columns + 1, columns))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if b > a:
+            part = np.zeros((len(sets), columns), np.float32)
+            part[row[a:b], place[a:b] - k * columns] = 1
+            out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _joining_links(percent: int):
+    """Links of a block between components, as few as join all that are linked."""
+
+    def links(group: pa.Table) -> pa.Table:
+        rows = group.select(["id", "component", "text"]).to_pydict()
+        sets = shingle_sets([t.encode() for t in rows["text"]])
+        size = np.array([len(s) for s in sets])
+        both = common_counts(sets)
+        component = np.array(rows["component"])
+        linked = (both > 0) & (100 * both >= percent * (size[:, None] + size - both)) & (component[:, None] != component)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        found = []
+        for i, j in np.argwhere(np.triu(linked)).tolist():
+            a, b = root(rows["component"][i]), root(rows["component"][j])
+            if a != b:
+                parent[a] = b
+                found.append((rows["id"][i], rows["id"][j]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -241,32 +288,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = texts.filter("id is not null and text is not null")
 
     buckets = classes.select(F.explode("bands").alias("bucket"), "id")
-    shared = checkpointed(
-        buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).filter("members > 1")
-    )
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = checkpointed(buckets.join(shared, "bucket"))
-    stars = members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpointed(confirmed(known, _estimated(stars, slim, percent), percent))
+    fame = members.groupBy("id").agg(F.sum("members").alias("fame"))
+    centres = (
+        members.join(fame, "id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("fame", (-F.col("id")).alias("other"))).alias("c"))
+        .select("bucket", (-F.col("c.other")).alias("a"))
+    )
+    balls = checkpointed(members.join(centres, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct())
+    links = checkpointed(confirmed(known, _estimated(balls, slim, percent), percent))
     labels = components(links, "a", "b")
+    more = checkpointed(_across(known, balls, labels, slim, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more), "a", "b")
+
+    own_class = classes.select("fp", F.col("id").alias("node"))
+    placed = (
+        signed.select("id", "n", "fp")
+        .join(own_class, "fp", "left")
+        .join(labels, "node", "left")
+        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("node")), "id")).alias("component_id"))
+    )
+    return placed.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
 
-    labelled = members.filter("members > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "members", "id", F.coalesce("component", "id").alias("component")
+def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a ball that are in different components. The centre's own pairs are known."""
+    inside = (
+        balls.select(F.col("a").alias("centre"), F.col("b").alias("id"))
+        .join(labels.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
+        .join(slim, "id")
     )
-    spans = (
-        labelled.groupBy("bucket")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = (
+        inside.groupBy("centre")
+        .agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"),
+            F.min("component").alias("least"),
+            F.max("component").alias("most"),
+        )
         .filter("least != most")
-        .select("bucket")
+        .select("centre", "chunks")
     )
-    open_ = labelled.join(spans, "bucket").join(slim, "id")
-    chunks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     blocks = (
-        open_.withColumn("chunks", chunks)
+        inside.join(mixed, "centre")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
-            "bucket",
+            "centre",
             F.least("own", "other").alias("x"),
             F.greatest("own", "other").alias("y"),
             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
@@ -276,25 +353,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             *SKETCH,
         )
     )
-    rest = blocks.groupBy("bucket", "x", "y").applyInArrow(_between(percent), "a long, b long").distinct()
-    rest = checkpointed(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = confirmed(known, rest.join(slim.select(F.col("id").alias("b"), "n"), "b").select("a", "b", "n"), percent)
-        labels = components(links.union(more), "a", "b")
-
-    own_class = classes.select("fp", F.col("id").alias("node"))
-    placed = (
-        signed.select("id", "n", "fp")
-        .join(own_class, "fp", "left")
-        .join(labels, "node", "left")
-        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("node")), "id")).alias("component_id"))
-    )
-    return placed.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    alike = blocks.groupBy("centre", "x", "y").applyInArrow(
+        _alike_members(percent), "centre long, x int, y int, id long, component long"
     )
+    alike = checkpointed(alike)
+    needed = checkpointed(texts.join(alike.select("id").distinct(), "id", "left_semi"))
+    whole = alike.join(needed, "id").groupBy("centre", "x", "y")
+    return whole.applyInArrow(_joining_links(percent), "a long, b long")
 
 
 def _estimated(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
