@@ -57,3 +57,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterato
         total += x
     if begin < len(size):
         yield begin, len(size)
+
+
+def every(columns: list[str]) -> list[Column]:
+    """The columns by name, whatever their names have in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def plainly_named(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ... and the new name of each: functions over Arrow don't take all names."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fresh, slices
+from .common import checkpointed, fresh, plainly_named, slices
 
 WINDOW = 10
 #: Bytes of documents in a shard (one document is never cut) and of benchmark texts in a block.
@@ -282,14 +282,15 @@ def with_matches(
     ).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
-    schema, now = T.StructType([*docs.schema.fields, T.StructField(out, STATE)]), docs
+    now, names = plainly_named(docs)
+    schema = T.StructType([*now.schema.fields, T.StructField("state", STATE)])
     for k in range(count):
         part = items if count == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
         rows = [(r.i, r.t.encode() if r.t else None) for r in part.collect()]
-        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(make_block(rows, window)), text_col, out, k == 0, window), schema)
+        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(make_block(rows, window)), names[text_col], "state", k == 0, window), schema)
         if k % 4 == 3:  # each pass has Python workers of its own
             now = checkpointed(now)
-    return now
+    return now.toDF(*docs.columns, out)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

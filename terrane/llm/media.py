@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, plainly_named, slices
 
 UNIT = 576
 PAD = 255
@@ -160,8 +160,10 @@ def with_audio(docs: DataFrame, text_col: str = "text", out: str = "media", codi
     if coding not in ("", "mulaw", "alaw", "adpcm"):
         raise ValueError(f"no such coding: {coding}")
     name = fresh(docs.columns, out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
-    return docs.mapInArrow(lambda b: _stored(b, text_col, coding, name), schema)
+    plain, names = plainly_named(docs)
+    text = names[text_col]
+    schema = T.StructType([*plain.schema.fields, T.StructField("media", T.BinaryType())])
+    return plain.mapInArrow(lambda b: _stored(b, text, coding, "media"), schema).toDF(*docs.columns, name)
 
 
 FEATURES = (
@@ -228,10 +230,11 @@ def decoded(docs: DataFrame, media_col: str = "media", out: str = "audio", pcm:
     feature has the coding, duration, loudness, peak, sign changes, and the checksum of the samples at twice the
     rate, which pcm holds as a WAV file (unless pcm is False). A file that can't be read raises ValueError.
     """
-    kept = [f for f in docs.schema.fields if f.name != media_col]
-    name = fresh([f.name for f in kept], out)
-    inner = T.StructType.fromDDL(FEATURES)
-    return docs.mapInArrow(lambda b: _read(b, media_col, name, pcm), T.StructType([*kept, T.StructField(name, inner)]))
+    kept = [c for c in docs.columns if c != media_col]
+    plain, names = plainly_named(docs)
+    media = names[media_col]
+    schema = T.StructType([*(plain.schema[names[c]] for c in kept), T.StructField("audio", T.StructType.fromDDL(FEATURES))])
+    return plain.mapInArrow(lambda b: _read(b, media, "audio", pcm), schema).toDF(*kept, fresh(kept, out))
 
 
 def audio_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACED_WORD, checkpointed, fresh
+from .common import SPACED_WORD, checkpointed, every, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -173,4 +173,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         & (words(F.col(text_col)) == F.col(n["k_size"]))
     )
     taken = docs.join(plan, same).withColumn(n["k_nth"], F.explode(F.sequence(F.lit(1), F.col(n["k_copies"]))))
-    return taken.select(docs.columns)
+    return taken.select(every(docs.columns))

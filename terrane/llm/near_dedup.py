@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, slices
+from .common import checkpointed, every, fresh, slices
 from .components import components
 
 SHINGLE = 5
@@ -379,8 +379,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     found = near_duplicates(docs, id_col, text_col, percent)
     gone = found.filter("not kept").select(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    left = docs.join(gone, id_col, "left_anti").select(every(docs.columns))
     key, row = fresh(docs.columns, "key"), fresh(docs.columns, "row")
-    keep = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    keep = F.struct(*every(docs.columns))
     one = left.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(keep).alias(row))
     return one.select(f"{row}.*").unionByName(left.filter(F.col(id_col).isNull()))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, plainly_named, slices
 
 #: Bound on the labelled documents that trees are grown from: the first ones by a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -219,8 +219,10 @@ def _scored(trees, text: str, out: str):
 
 def with_score(docs: DataFrame, trees: Trees, text_col: str, out: str) -> DataFrame:
     """docs with a score from 0 to 1 in column `out`; all columns pass through. Null text is scored as empty."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(trees), text_col, out), schema)
+    plain, names = plainly_named(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
+    run = _scored(docs.sparkSession.sparkContext.broadcast(trees), names[text_col], "score")
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, out)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -14,7 +14,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import every, fresh
 
 SHARDS = 16
 SLOTS = 2039
@@ -69,4 +69,4 @@ def sharded(docs: DataFrame, key_col: str = "doc_id", shards: int = SHARDS, slot
     if name == at:
         at += "_at"
     table = table_frame(docs.sparkSession, shards, slots, weights).select(F.col("slot").alias(at), F.col("shard").alias(name))
-    return docs.withColumn(at, slot(F.col(key_col), slots)).join(F.broadcast(table), at).select(*docs.columns, name)
+    return docs.withColumn(at, slot(F.col(key_col), slots)).join(F.broadcast(table), at).select(*every(docs.columns), name)
