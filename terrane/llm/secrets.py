@@ -9,6 +9,7 @@ in every text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as ops
@@ -17,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import every, fresh
 
 
 @dataclass(frozen=True)
@@ -118,16 +119,29 @@ def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return have.select("id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. What a lambda refers to outside of it, it computes again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _prefix_sums(x: Column) -> Column:
     """For each place of an array of numbers, the sum up to it. Blocks keep it well below quadratic."""
-    n = F.size(x)
-    block = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
-    blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / block).cast("int")), lambda b: total(F.slice(x, b * block + 1, block)))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(
-        x, lambda _, i: F.element_at(before, (i / block).cast("int") + 1) + total(F.slice(x, (i / block).cast("int") * block + 1, i % block + 1))
-    )
+
+    def summed(x: Column, block: Column) -> Column:
+        numbers = F.sequence(F.lit(0), ((F.size(x) - 1) / block).cast("int"))
+        blocks = F.transform(numbers, lambda b: total(F.slice(x, b * block + 1, block)))
+        before = _let(blocks, lambda blocks: F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))))
+        return _let(
+            before,
+            lambda before: F.transform(
+                x,
+                lambda _, i: F.element_at(before, (i / block).cast("int") + 1)
+                + total(F.slice(x, (i / block).cast("int") * block + 1, i % block + 1)),
+            ),
+        )
+
+    return _let(x, lambda x: _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int")), lambda block: summed(x, block)))
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -136,17 +150,19 @@ def matches(text: Column, rule: Rule) -> Column:
     The text is cut at the matches: lengths of pieces and matches add up to the places.
     """
     pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    size = F.transform(found, F.length)
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    counted = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else found
     pieces = F.transform(F.split(text, rule.pattern, -1), F.length)
-    counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    ends = _prefix_sums(F.transform(size, lambda s, i: s + F.element_at(pieces, i + 1)))
-    spans = F.transform(
-        ends, lambda e, i: F.struct((e - F.element_at(size, i + 1)).alias("start"), e.alias("end"), F.length(F.element_at(counted, i + 1)).alias("n"))
-    )
-    kept = F.transform(F.filter(spans, lambda s: s["n"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    whole = F.filter(F.arrays_zip(found.alias("size"), counted.alias("n"), pieces.alias("piece")), lambda m: m["size"].isNotNull())
+
+    def placed(m: Column) -> Column:
+        ends = _prefix_sums(F.transform(m, lambda x: x["size"] + x["piece"]))
+        both = F.zip_with(m, ends, lambda x, e: F.struct((e - x["size"]).alias("start"), e.alias("end"), x["n"].alias("n")))
+        kept = F.filter(both, lambda x: x["n"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
     none = F.array().cast("array<struct<start: int, end: int>>")
-    return F.when(F.regexp_like(text, pattern), kept).otherwise(none)
+    return F.when(F.regexp_like(text, pattern), _let(whole, placed)).otherwise(none)
 
 
 def _tagged(spans: Column, rank: int, kind: str) -> Column:
@@ -192,7 +208,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "do
                 lambda t, s: F.overlay(t, F.repeat(F.lit("*"), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]),
             ).alias(c)
             if c == text_col
-            else F.col(f"`{c}`")
+            else every([c])[0]
             for c in docs.columns
         )
     )
