@@ -77,7 +77,7 @@ class Engine:
         later = []
         for key, param in c.params.items():
             if query.get(key):
-                if param.__qualname__.startswith("same_bbox"):
+                if isinstance(param, params.SameBbox):
                     later.append(param)
                 else:
                     found.append(param(c, query[key]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from ..functions import crs
 from ..functions.geometry import Geometry, box, read_wkt
@@ -210,14 +211,15 @@ def meets_wkt(name: str) -> Param:
     return run
 
 
-def same_bbox(name: str) -> Callable[[object, fl.Filter], fl.Filter | None]:
-    """The request's bbox, on the envelope of another geometry too. Takes the collection and its filter so far."""
+@dataclass(frozen=True)
+class SameBbox:
+    """The request's bbox, on the envelope of another geometry too. It needs the filter so far, not a value."""
 
-    def run(collection, so_far: fl.Filter) -> fl.Filter | None:
+    name: str
+
+    def __call__(self, collection, so_far: fl.Filter) -> fl.Filter | None:
         box_filter = fl.find(so_far, BBOX_TAG)
         if not box_filter:
             return None
-        prop = collection.prop(name)
+        prop = collection.prop(self.name)
         return fl.Spatial(op="INTERSECTS_INDEX", prop=prop, geometry=crs.reproject(box_filter.geometry, prop.srid))
-
-    return run

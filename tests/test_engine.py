@@ -6,6 +6,7 @@ import pytest
 from terrane.functions import geometry, spatial
 from terrane.operators import metadata
 from terrane.plans import filters as fl
+from terrane.plans import params
 from terrane.plans.catalog import Catalog, Collection
 from terrane.plans.engine import Engine
 from terrane.plans.properties import Property
@@ -177,6 +178,16 @@ def test_cache(spark, engine):
     assert len(e.cache.held) == 1
 
 
+def test_same_bbox(spark):
+    made = spark.createDataFrame([(1, 1.0, 1.0, 5.0, 5.0), (2, 1.0, 1.0, 50.0, 5.0)], "id long, x double, y double, u double, v double")
+    other = Property("h", "", "geometry", "t", xy=("u", "v"))
+    c = Collection("c", "t", {"t": readers.frame(made)}, Property("id", "id", "long", "t"), [other], geometry=Property("g", "", "geometry", "t", xy=("x", "y")))
+    c.params = {"both": params.SameBbox("h")}
+    e = Engine(spark, Catalog().add(c))
+    assert [r.id for r in e.items("c", {"bbox": "0,0,10,10", "both": "true"}).collect()] == [1]
+    assert e.items("c", {"bbox": "0,0,10,10"}).count() == e.items("c", {"both": "true"}).count() == 2
+
+
 def test_metadata(spark, engine):
     catalog = engine.catalog
     assert [r.id for r in metadata.collections(spark, catalog).collect()] == ["breakwater", "pages"]
