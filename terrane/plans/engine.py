@@ -50,6 +50,15 @@ class Page:
     next_param: str = "next"
 
 
+@dataclass
+class MultiPage:
+    """Rows with their collection's name; the collections that the next page goes on with, and a cursor in the first."""
+
+    rows: list[tuple[str, Row]]
+    remaining: list[str]
+    next: str | None
+
+
 class Engine:
     def __init__(self, spark: SparkSession, catalog: Catalog, cache_size: int = 0, cache_seconds: float = 120):
         self.spark, self.catalog = spark, catalog
@@ -192,6 +201,27 @@ class Engine:
             whole = whole.orderBy("_collection", "_rank").limit(limit)
         return whole.drop("_rank")
 
+    def multi_page(self, names: list[str] | None = None, query: dict[str, str] | None = None) -> MultiPage:
+        """A page over several collections, one after the other, and where the next page begins.
+
+        A cursor in the query belongs to the first collection. At most limit + 1 rows of each are collected.
+        """
+        names, query = list(names or self.catalog.collections), dict(query or {})
+        left, rows = self.bind(names[0], query).limit, []
+        if left is None:
+            raise ValueError("a page needs a limit")
+        for i, name in enumerate(names):
+            page = self.page(name, {**query, "limit": str(left)})
+            query.pop("next", None)
+            rows += [(name, r) for r in page.rows]
+            left -= page.number_returned
+            if page.next:
+                return MultiPage(rows, names[i:], page.next)
+            if not left:
+                more = [n for n in names[i + 1 :] if self.page(n, {**query, "limit": "1"}).rows]
+                return MultiPage(rows, names[names.index(more[0]) :] if more else [], None)
+        return MultiPage(rows, [], None)
+
     def count_multi(self, names: list[str] | None = None, query: dict[str, str] | None = None) -> DataFrame:
         counts = [self.count(n, query) for n in names or list(self.catalog.collections)]
         return reduce(DataFrame.union, counts).agg(F.sum("number_matched").alias("number_matched"))

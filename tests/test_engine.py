@@ -62,6 +62,17 @@ def test_next_page(engine):
     assert (second.rows[0].fid, second.next) == ("2", None)
 
 
+def test_multi_page(engine):
+    seen, names, query = [], ["pages", "breakwater"], {"limit": "1"}
+    while names:
+        page = engine.multi_page(names, query)
+        seen += [(n, r[0]) for n, r in page.rows]
+        names, query = page.remaining, {"limit": "1", **({"next": page.next} if page.next else {})}
+    assert seen == [("pages", "1"), ("pages", "2"), ("breakwater", "1"), ("breakwater", "2")]
+    assert len(engine.multi_page(["pages", "breakwater"], {"limit": "3"}).rows) == 3
+    assert engine.multi_page(["pages"], {"limit": "9"}).remaining == []
+
+
 def test_by_id(engine):
     assert [r.mtk_id for r in engine.by_id("breakwater", "2").collect()] == ["22"]
     assert engine.by_id("breakwater", "9").isEmpty()
