@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BLANKS = r"[\x20\x09-\x0D]"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,17 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows: int | None = None, a_part: int = 100_000) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a laptop) a
+    rows: a bound on the table's rows, if one is known; then it is written in parts of about a_part rows, not in
+    as many files as there are shuffle partitions. The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a laptop) a
     temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-ckpt-"))
-    return df.checkpoint(eager=True)
+    return (df if rows is None else in_parts(df, rows, a_part)).checkpoint(eager=True)
+
+
+def in_parts(df: DataFrame, rows: int, a_part: int) -> DataFrame:
+    """df in as many partitions as so many rows need, if it has more."""
+    return df.coalesce(max(1, -(-rows // a_part)))
 
 
 def ascii_lower(c: Column) -> Column:

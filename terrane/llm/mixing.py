@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACED_WORD, checkpointed, every, fresh
+from .common import BLANKS, SPACED_WORD, checkpointed, every, fresh, in_parts
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -22,10 +22,16 @@ MOST = 2.0
 #: Documents that one fold takes on average. It bounds a group's rows at every level of the tree.
 BUCKET = 512
 SEED = 20240607
+#: Rows, and texts, in a part of a table that is not large.
+ROWS_A_PART = 20_000
+TEXTS = 5_000
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(SPACED_WORD)), F.lit(0)).cast("long")
+    """The number of words, counted in a text that has one letter for each: no array of words is made."""
+    text = text.cast("string")
+    letters = F.regexp_replace(text, rf"{BLANKS}*{SPACED_WORD}{BLANKS}*", "w")
+    return F.when(F.regexp_like(text, F.lit(SPACED_WORD)), F.length(letters)).otherwise(0).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -108,7 +114,6 @@ def rounded(fractions: DataFrame, most: int, seed: int = SEED, bucket: int = BUC
             .agg(F.sort_array(F.collect_list(item)).alias("items"))
             .select(_fold(F.col("items")).alias("f"))
         )
-        folded = checkpointed(folded)
         done.append(folded.select(F.explode("f.done").alias("d")).select("d.*"))
         now = folded.select("f.rest.*").drop("r")
         if parts == 1:
@@ -131,9 +136,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     slim = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")
     )
-    alike = checkpointed(slim.groupBy("id", "source", "size").agg(F.count("*").alias("rows")))
+    rows = docs.count()
+    alike = checkpointed(slim.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), rows, ROWS_A_PART)
     sizes = alike.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
-    sizes = checkpointed(sizes)
     goals = targets(sizes.select("source", "source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     goals = checkpointed(
@@ -148,7 +153,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     alone = F.when((F.col("w.size") == 0) & (_random(seed, "w.id", "w.source") < F.col("p")), 1).otherwise(0)
     copies = F.col("whole") + F.coalesce("extra", alone)
     decided = with_goal.alias("w").join(extra, same[0] & same[1] & same[2], "left")
-    return decided.select(
+    return in_parts(decided, rows, ROWS_A_PART).select(
         F.col("w.id").alias(id_col),
         F.col("w.source").alias(source_col),
         F.col("w.size").alias("size"),
@@ -173,4 +178,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         & (words(F.col(text_col)) == F.col(n["k_size"]))
     )
     taken = docs.join(plan, same).withColumn(n["k_nth"], F.explode(F.sequence(F.lit(1), F.col(n["k_copies"]))))
-    return taken.select(every(docs.columns))
+    return in_parts(taken.select(every(docs.columns)), 2 * docs.count(), TEXTS)
