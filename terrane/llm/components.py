@@ -33,13 +33,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     of rounds logarithmic in the longest path. Each round is checkpointed, so a lost executor costs
     one round at most.
     """
-    now = checkpointed(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    )
+    count = edges.count()
+    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), count)
     digest = (F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
     before = tuple(now.agg(*digest).first())
     while before[0]:
-        now = checkpointed(_star(_star(now, True), False))
+        now = checkpointed(_star(_star(now, True), False), 2 * before[0])
         after = tuple(now.agg(*digest).first())
         if after == before:
             break

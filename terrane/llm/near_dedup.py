@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, every, fresh, slices
+from .common import checkpointed, every, fresh, in_parts, slices
 from .components import components
 
 SHINGLE = 5
@@ -44,6 +44,9 @@ TASK_SHINGLES = 2_000_000
 #: Members of a ball, and their shingles, that one task compares with as many others.
 BLOCK = 500
 BLOCK_SHINGLES = 500_000
+#: Rows, and texts, in a part of a table that is not large.
+ROWS_A_PART = 100_000
+TEXTS = 5_000
 
 U64 = np.uint64
 _rng = np.random.RandomState(20240607)
@@ -171,7 +174,7 @@ def _confirm(percent: int):
     return confirm
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, rows: int) -> DataFrame:
     """Of pairs (a, b, n): those whose full sets are similar. n is the size of b's set.
 
     The texts of a centre's partners are dealt to as many tasks as they need, the centre's own text to
@@ -179,7 +182,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """
     parts = pairs.groupBy("a").agg((F.floor(F.sum(F.col("n") + 64) / TASK_SHINGLES) + 1).cast("int").alias("parts"))
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = checkpointed(texts.join(needed, "id", "left_semi"))
+    texts = checkpointed(texts.join(needed, "id", "left_semi"), rows, TEXTS)
     others = (
         pairs.join(parts, "a")
         .withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -278,18 +281,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(texts.mapInArrow(_sign, SIGNED))
+    rows = signed.count()
     some = signed.filter("id is not null and n > 0")
-    classes = checkpointed(
-        some.groupBy("fp").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH)
-        )
+    classes = some.groupBy("fp").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH)
     )
+    classes = checkpointed(classes, rows)
     slim = classes.select("id", "n", *SKETCH)
     known = texts.filter("id is not null and text is not null")
 
     buckets = classes.select(F.explode("bands").alias("bucket"), "id")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = checkpointed(buckets.join(shared, "bucket"))
+    members = checkpointed(buckets.join(shared, "bucket"), BANDS * rows)
     fame = members.groupBy("id").agg(F.sum("members").alias("fame"))
     centres = (
         members.join(fame, "id")
@@ -297,10 +300,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.max(F.struct("fame", (-F.col("id")).alias("other"))).alias("c"))
         .select("bucket", (-F.col("c.other")).alias("a"))
     )
-    balls = checkpointed(members.join(centres, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct())
-    links = checkpointed(confirmed(known, _estimated(balls, slim, percent), percent))
+    balls = checkpointed(members.join(centres, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct(), BANDS * rows)
+    links = checkpointed(confirmed(known, _estimated(balls, slim, percent, rows), percent, rows))
     labels = components(links, "a", "b")
-    more = checkpointed(_across(known, balls, labels, slim, percent))
+    more = checkpointed(_across(known, balls, labels, slim, percent, rows))
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
 
@@ -311,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(labels, "node", "left")
         .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("node")), "id")).alias("component_id"))
     )
-    return placed.select(
+    return in_parts(placed, rows, ROWS_A_PART).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "component_id",
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFrame, percent: int, rows: int) -> DataFrame:
     """Links (a, b) between members of a ball that are in different components. The centre's own pairs are known."""
     inside = (
         balls.select(F.col("a").alias("centre"), F.col("b").alias("id"))
@@ -356,19 +359,18 @@ def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFra
     alike = blocks.groupBy("centre", "x", "y").applyInArrow(
         _alike_members(percent), "centre long, x int, y int, id long, component long"
     )
-    alike = checkpointed(alike)
-    needed = checkpointed(texts.join(alike.select("id").distinct(), "id", "left_semi"))
+    alike = checkpointed(alike, BANDS * rows)
+    needed = checkpointed(texts.join(alike.select("id").distinct(), "id", "left_semi"), rows, TEXTS)
     whole = alike.join(needed, "id").groupBy("centre", "x", "y")
     return whole.applyInArrow(_joining_links(percent), "a long, b long")
 
 
-def _estimated(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+def _estimated(pairs: DataFrame, slim: DataFrame, percent: int, rows: int) -> DataFrame:
     whole = F.struct("n", *SKETCH)
     one = slim.select(F.col("id").alias("a"), whole.alias("x"))
     two = slim.select(F.col("id").alias("b"), whole.alias("y"))
-    return checkpointed(
-        pairs.join(one, "a").join(two, "b").filter(_alike("x", "y", percent)).select("a", "b", F.col("y.n").alias("n"))
-    )
+    near = pairs.join(one, "a").join(two, "b").filter(_alike("x", "y", percent))
+    return checkpointed(near.select("a", "b", F.col("y.n").alias("n")), BANDS * rows)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -383,4 +385,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, row = fresh(docs.columns, "key"), fresh(docs.columns, "row")
     keep = F.struct(*every(docs.columns))
     one = left.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(keep).alias(row))
-    return one.select(f"{row}.*").unionByName(left.filter(F.col(id_col).isNull()))
+    return in_parts(one.select(f"{row}.*").unionByName(left.filter(F.col(id_col).isNull())), docs.count(), TEXTS)
