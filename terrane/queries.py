@@ -6,11 +6,13 @@ import math
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from .functions import crs, transformers
-from .functions.geometry import box
+from .functions import crs, spatial, transformers
+from .functions.geometry import Geometry, box, write_wkb
 from .functions.spatial import project_columns
 from .operators import metadata
 from .operators.joins import MANY_TO_MANY, Join
@@ -132,10 +134,35 @@ def catalog(base: str) -> Catalog:
     )
     parts.queryables = [x.name for x in parts.properties] + ["p_partkey"]
     parts.params = {"words": params.shares_element("words")}
+    parts.properties.append(p("use", "lpad(cast(p_size as string), 2, '0')", "string", transformer=transformers.BuildingFunction()))
+    parts.params["use"] = params.values("use", params.building_function)
+    events.properties.append(p("local_day", "cast(concat(cast(ts as string), 'Z') as timestamp)", "timestamptz", transformer=transformers.TimestamptzToDate("timestamptz", "Asia/Tokyo")))
+    events.queryables.append("local_day")
+    segments = Collection(
+        "segments",
+        "segments",
+        {"segments": lambda spark: _segments(spark.read.parquet(f"{base}/events.parquet"))},
+        p("event_id", "event_id", "long", "segments", nullable=False),
+        of("segments", ("user_id", "long")),
+        geometry=p("line", "line", "geometry", "segments", geometry_type="LINESTRING"),
+        queryables=["line"],
+    )
+    indexed = replace(segments, name="indexed", geometry=replace(segments.geometry, bounds=("segments.x", "segments.y", "segments.x2", "segments.y")))
     large = replace(parts, name="large_parts", order=None)
     config = {"or": {"type": "OR", "value": ["big", "small"]}, "big": {"type": "BETWEEN", "prop": "p_size", "value": ["40", "50"]}, "small": {"type": "IN", "prop": "p_size", "value": ["1", "2"]}}
     large.static_filter = static_filter(large, config, "or")
-    return Catalog().add(orders, customers, bought, lineitems, events, parts, large)
+    return Catalog().add(orders, customers, bought, lineitems, events, parts, large, segments, indexed)
+
+
+def _segments(events: DataFrame) -> DataFrame:
+    """Level lines of 20 units as WKB, with the columns of their envelopes."""
+
+    @pandas_udf("binary")
+    def line(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([write_wkb(Geometry("LINESTRING", ((a, b), (a + 20, b)))) for a, b in zip(x, y, strict=True)])
+
+    at = events.select("event_id", "user_id", (F.col("user_id") * 7 % 360 - 180).cast("double").alias("x"), (F.col("value") % 90).alias("y"))
+    return at.select("*", (F.col("x") + 20).alias("x2"), line("x", "y").alias("line"))
 
 
 def engine(spark: SparkSession, base: str) -> Engine:
@@ -465,16 +492,57 @@ def queryables_meta(spark: SparkSession, base: str) -> DataFrame:
     return metadata.queryables(spark, catalog(base).collection("lineitems")).select("name", "type")
 
 
-@query("collections_meta", "SELECT unnest(['orders', 'customers', 'bought', 'lineitems', 'events', 'parts', 'large_parts']) AS id")
+@query("collections_meta", "SELECT unnest(['orders', 'customers', 'bought', 'lineitems', 'events', 'parts', 'large_parts', 'segments', 'indexed']) AS id")
 def collections_meta(spark: SparkSession, base: str) -> DataFrame:
     return metadata.collections(spark, catalog(base)).select("id")
 
 
-@query("schema_meta", "SELECT * FROM (VALUES ('event_id', true), ('position', false), ('user_id', false), ('event_type', false), ('value', false), ('ts', false), ('props', false), ('k', false), ('ends', false)) t(name, required)")
+@query("schema_meta", "SELECT * FROM (VALUES ('event_id', true), ('position', false), ('user_id', false), ('event_type', false), ('value', false), ('ts', false), ('props', false), ('k', false), ('ends', false), ('local_day', false)) t(name, required)")
 def schema_meta(spark: SparkSession, base: str) -> DataFrame:
     return metadata.schema(spark, catalog(base).collection("events")).select("name", "required")
 
 
+_USE = "CASE WHEN substr(lpad(CAST(p_size AS VARCHAR), 2, '0'), 1, 1) IN ('0','1') THEN lpad(CAST(p_size AS VARCHAR), 2, '0') ELSE substr(CAST(p_size AS VARCHAR), 1, 1) END"
+items("tr_building", "parts", {"properties": "use", "use": "07,19,99"}, f"SELECT p_partkey, {_USE} AS use FROM part WHERE p_size IN (7, 19)")
+items("tr_building_output", "parts", {"properties": "use"}, f"SELECT p_partkey, {_USE} AS use FROM part")
+_LOCAL = "CAST(ts + INTERVAL 9 HOUR AS DATE)"
+QUERIES["tr_tz_to_date"] = lambda spark, base: engine(spark, base).items(
+    "events", {"limit": "-1", "properties": "local_day", "filter": "local_day >= DATE('2024-01-05') AND local_day < DATE('2024-01-08') AND local_day <> DATE('2024-01-06')"}
+).drop("position")
+SQL["tr_tz_to_date"] = f"SELECT event_id, {_LOCAL} AS local_day FROM events WHERE {_LOCAL} IN (DATE '2024-01-05', DATE '2024-01-07')"
+
+
+def _lines(name: str, cql: str, where: str, collection: str = "segments") -> None:
+    """A request over WKB lines from (x, y) to (x + 20, y)."""
+    QUERIES[name] = lambda spark, base: engine(spark, base).items(collection, {"limit": "-1", "filter": cql}).drop("line")
+    SQL[name] = f"SELECT event_id, user_id FROM (SELECT event_id, user_id, {_EX} AS x, {_EY} AS y FROM events) WHERE {where}"
+
+
+_BOX, _IN = "BBOX(0, 10, 60, 50)", "y BETWEEN 10 AND 50 AND x + 20 >= 0 AND x <= 60"
+_lines("wkb_intersects", f"S_INTERSECTS(line, {_BOX})", _IN)
+_lines("wkb_intersects_indexed", f"S_INTERSECTS(line, {_BOX})", _IN, "indexed")
+_lines("wkb_disjoint", f"S_DISJOINT(line, {_BOX})", f"NOT ({_IN})")
+_lines("wkb_within", f"S_WITHIN(line, {_BOX})", "y > 10 AND y < 50 AND x >= 0 AND x + 20 <= 60")
+_lines("wkb_crosses", f"S_CROSSES(line, {_BOX})", "y > 10 AND y < 50 AND (x < 0 AND x + 20 > 0 OR x < 60 AND x + 20 > 60)")
+_lines("wkb_touches", "S_TOUCHES(line, BBOX(3, 10, 60, 50))", "y BETWEEN 10 AND 50 AND (x + 20 = 3 OR x = 60) OR y IN (10, 50) AND x + 20 >= 3 AND x <= 60")
+_lines("wkb_contains", "S_CONTAINS(line, POINT(10 4.08))", "y = 4.08 AND x < 10 AND x + 20 > 10")
+_lines("wkb_overlaps", "S_OVERLAPS(line, LINESTRING(0 4.08, 12 4.08)) OR S_EQUALS(line, LINESTRING(6 4.08, 26 4.08))", "y = 4.08 AND (x < 0 AND x + 20 > 0 AND x + 20 < 12 OR x > 0 AND x < 12 AND x + 20 > 12 OR x = 6)")
+_LINE = "rtrim(rtrim(printf('%.7f', y), '0'), '.')"
+
+
+@query("wkb_geojson", f"""SELECT '{{"type":"Feature","id":' || event_id || ',"geometry":{{"type":"LineString","coordinates":[[' || x || ',' || {_LINE} || '],[' || (x + 20) || ',' || {_LINE} || ']]}},"properties":{{"user_id":' || user_id || '}}}}' AS feature FROM (SELECT event_id, user_id, {_EX} AS x, {_EY} AS y FROM events)""")
+def wkb_geojson(spark: SparkSession, base: str) -> DataFrame:
+    e = engine(spark, base)
+    return text.geojson(e.catalog.collection("segments"), e.items("segments", {"limit": "-1"}))
+
+
+@query("wkb_envelopes", f"SELECT event_id, CAST(x AS DOUBLE) AS minx, CAST(x + 20 AS DOUBLE) AS maxx, y AS miny, y AS maxy, false AS empty FROM (SELECT event_id, {_EX} AS x, {_EY} AS y FROM events)")
+def wkb_envelopes(spark: SparkSession, base: str) -> DataFrame:
+    df = engine(spark, base).items("segments", {"limit": "-1"})
+    f = {"minx": spatial.st_min_x, "maxx": spatial.st_max_x, "miny": spatial.st_min_y, "maxy": spatial.st_max_y, "empty": spatial.st_is_empty}
+    return df.select("event_id", *(g(F.col("line")).alias(n) for n, g in f.items()))
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """A filter, an order and a page over orders."""
     return engine(spark, base).items(
