@@ -3,7 +3,8 @@
 From each rule's regex a Boolean query over trigrams is derived: a list of clauses, all of which must hold;
 a clause is a list of alternatives, each a set of trigrams that must all occur. The index has the postings
 (trigram, document) of the trigrams that any rule asks for. Intersecting them gives the candidates of each
-rule, and only these texts are searched with its regex. A rule without a mandatory trigram is searched for
+rule, and only these texts are searched with its regex. No text leaves its place for that: the candidates come
+to the texts, as a Bloom filter of a checked size. A rule without a mandatory trigram is searched for
 in every text.
 """
 
@@ -18,7 +19,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import every, fresh
+from . import urls
+from .common import checkpointed, every, fresh
 
 
 @dataclass(frozen=True)
@@ -169,27 +171,42 @@ def _tagged(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
 
 
-def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _key(kind: str | Column, identity: Column) -> Column:
+    return F.concat(kind if isinstance(kind, Column) else F.lit(kind), F.lit(":"), F.coalesce(identity.cast("string"), F.lit("null")))
+
+
+def scanned(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = urls.MOST_BYTES
+) -> DataFrame:
     """docs with a column secrets: an array of (start, end, rank, kind), by start, then as the rules are listed.
 
-    All columns and rows stay. Null text counts as empty. Rows that share an id share their candidates, and
-    each is searched by itself; null ids count as one id.
+    Candidates only say which texts are searched, so a Bloom filter of them will do where it takes at most
+    most_bytes: then no text is shuffled, and a text that passes by mistake is searched in vain. More candidates are
+    joined to the texts. All columns and rows stay. Null text counts as empty. Rows that share an id share their
+    candidates, and each is searched by itself; null ids count as one id.
     """
     none = F.array().cast("array<struct<start: int, end: int>>")
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for c in q for a in c for t in a})
     key, kinds = fresh(docs.columns, "key"), fresh(docs.columns, "kinds")
-    seen = docs
+    seen, may = docs, {}
     if queries:
-        found = candidates(index(docs, trigrams, id_col, text_col), queries).select(F.col("id").alias(key), F.col("kinds").alias(kinds))
-        seen = docs.join(found, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
+        found = candidates(index(docs, trigrams, id_col, text_col), queries)
+        found = checkpointed(found)
+        pairs = found.select(F.explode("kinds").alias("kind"), "id").select(_key(F.col("kind"), F.col("id")).alias("key"))
+        count = pairs.count()
+        if count * urls.BITS <= most_bytes * 8:
+            known = urls.make_filter(pairs, count, 0)
+            may = {k: known.has(_key(k, F.col(id_col))) for k in queries}
+        else:
+            found = found.select(F.col("id").alias(key), F.col("kinds").alias(kinds))
+            seen = docs.join(found, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
+            may = {k: F.array_contains(kinds, k) for k in queries}
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = []
     for rank, rule in enumerate(rules):
         of = matches(text, rule)
-        if rule.kind in queries:
-            of = F.when(F.array_contains(kinds, rule.kind), of).otherwise(none)
-        spans.append(_tagged(of, rank, rule.kind))
+        spans.append(_tagged(F.when(may[rule.kind], of).otherwise(none) if rule.kind in may else of, rank, rule.kind))
     by_start = F.array_sort(
         F.concat(*spans),
         lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["rank"] - b["rank"]),

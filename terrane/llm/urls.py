@@ -75,9 +75,9 @@ class Filter:
         return [F.pmod(one + two * i, F.lit(self.bits)) for i in range(HASHES)]
 
     def has(self, key: Column) -> Column:
-        found = F.lit(True)
+        found, data = F.lit(True), F.lit(self.data)
         for p in self.places(key):
-            byte = F.substring(F.lit(self.data), (F.floor(p / 8) + 1).cast("int"), F.lit(1))
+            byte = F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))
             value = F.conv(F.hex(byte), 16, 10).cast("int")
             found = found & (value.bitwiseAND(F.pow(F.lit(2), p % 8).cast("int")) != 0)
         return found

@@ -216,7 +216,7 @@ def test_near_dedup_odd(odd, empty, spark):
     assert near_dedup.near_duplicates(empty).isEmpty()
     left = near_dedup.deduplicated(odd)
     assert left.columns == odd.columns
-    assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [1, 2, 3, 4, 5, 7, 9, 10]
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [1, 2, 3, 4, 5, 6, 7, 9, 10]
     assert left.filter("doc_id is null").count() == 2
 
 
@@ -404,6 +404,8 @@ def test_secrets_odd(spark, odd, empty):
     assert found[7].spans == "pem:0:31" and found[8].spans.startswith("hub:0:40") and found[9].n_hex == 300
     check_secrets(odd)
     assert secrets.report(empty).isEmpty()
+    one, two = (secrets.scanned(docs, most_bytes=b).orderBy("doc_id").collect() for b in (10**6, 0))
+    assert one == two
     clean = secrets.redacted(docs.withColumn("secrets", F.lit(1)))
     assert clean.columns == ["doc_id", "text", "secrets"]
     assert clean.filter("doc_id = 8").first().text.startswith("*" * 40)
@@ -608,6 +610,18 @@ def test_sql(spark, name):
     assert Counter(tuple(r) for r in df.select(columns).collect()) == Counter(expected)
 
 
+@pytest.mark.parametrize("name", ["op4_sharding", "op6_chat_formatting", "op7_secret_scan", "op8_source_mixing", "op9_url_filter"])
+def test_native_plans(spark, name):
+    plan = queries.QUERIES[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|ArrowEval|InArrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_no_pair_joins(spark):
+    for name in ("op1_quality_classifier", "op2_decontamination", "op3_near_dedup", "op10_media_columns"):
+        plan = queries.QUERIES[name](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("CartesianProduct|NestedLoop", plan)
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{BASE}/documents.parquet")
