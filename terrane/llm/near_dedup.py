@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import checkpointed, every, fresh, in_parts, slices
 from .components import components
 
@@ -174,6 +175,12 @@ def _confirm(percent: int):
     return confirm
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with the given ids. Most others are left out before any text is moved."""
+    may, _ = bloom.split(texts, F.col("id"), ids.select(F.col("id").alias("key")))
+    return may.join(ids, "id", "left_semi")
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, rows: int) -> DataFrame:
     """Of pairs (a, b, n): those whose full sets are similar. n is the size of b's set.
 
@@ -182,7 +189,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, rows: int) -> Da
     """
     parts = pairs.groupBy("a").agg((F.floor(F.sum(F.col("n") + 64) / TASK_SHINGLES) + 1).cast("int").alias("parts"))
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = checkpointed(texts.join(needed, "id", "left_semi"), rows, TEXTS)
+    texts = checkpointed(_only(texts, needed), rows, TEXTS)
     others = (
         pairs.join(parts, "a")
         .withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -360,7 +367,7 @@ def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFra
         _alike_members(percent), "centre long, x int, y int, id long, component long"
     )
     alike = checkpointed(alike, BANDS * rows)
-    needed = checkpointed(texts.join(alike.select("id").distinct(), "id", "left_semi"), rows, TEXTS)
+    needed = checkpointed(_only(texts, alike.select("id").distinct()), rows, TEXTS)
     whole = alike.join(needed, "id").groupBy("centre", "x", "y")
     return whole.applyInArrow(_joining_links(percent), "a long, b long")
 
@@ -379,10 +386,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id all stay. Of rows that share an id, the one that comes first when its columns
     are compared in order stays.
     """
+    rows = docs.count()
     found = near_duplicates(docs, id_col, text_col, percent)
-    gone = found.filter("not kept").select(F.col(id_col).cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(every(docs.columns))
+    kind = docs.schema[id_col].dataType
+    ids = checkpointed(found.select(F.col(id_col).cast(kind).alias("key"), "kept"), rows).filter("key is not null")
+    gone = ids.filter("not kept").select("key").distinct()
+    repeated = ids.filter("kept").groupBy("key").count().filter("count > 1").select("key")
     key, row = fresh(docs.columns, "key"), fresh(docs.columns, "row")
-    keep = F.struct(*every(docs.columns))
-    one = left.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(keep).alias(row))
-    return in_parts(one.select(f"{row}.*").unionByName(left.filter(F.col(id_col).isNull())), docs.count(), TEXTS)
+    touched = gone.union(repeated)
+    may, rest = bloom.split(docs, F.col(id_col), touched)
+    left = may.join(gone.withColumnRenamed("key", key), F.col(id_col) == F.col(key), "left_anti")
+    whole = F.struct(*every(docs.columns))
+    once = left.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(whole).alias(row)).select(f"{row}.*")
+    out = once.unionByName(left.filter(F.col(id_col).isNull()))
+    return in_parts(out if rest is None else out.unionByName(rest), rows, TEXTS)

@@ -19,7 +19,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import urls
+from . import bloom
 from .common import checkpointed, every, fresh
 
 
@@ -176,7 +176,7 @@ def _key(kind: str | Column, identity: Column) -> Column:
 
 
 def scanned(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = urls.MOST_BYTES
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = bloom.MOST_BYTES
 ) -> DataFrame:
     """docs with a column secrets: an array of (start, end, rank, kind), by start, then as the rules are listed.
 
@@ -194,9 +194,8 @@ def scanned(
         found = candidates(index(docs, trigrams, id_col, text_col), queries)
         found = checkpointed(found)
         pairs = found.select(F.explode("kinds").alias("kind"), "id").select(_key(F.col("kind"), F.col("id")).alias("key"))
-        count = pairs.count()
-        if count * urls.BITS <= most_bytes * 8:
-            known = urls.make_filter(pairs, count, 0)
+        known = bloom.filter_of(pairs, most_bytes)
+        if known:
             may = {k: known.has(_key(k, F.col(id_col))) for k in queries}
         else:
             found = found.select(F.col("id").alias(key), F.col("kinds").alias(kinds))

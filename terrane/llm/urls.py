@@ -8,21 +8,14 @@ binary literals of a checked size in the plan; pages are judged where they lie,
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BITS, MOST_BYTES, Filter, make_filter
 from .common import ascii_lower, checkpointed, fresh
 
-#: Bits a key and hashes of a filter: about one mistake in 50. Both hold for every level.
-BITS = 8
-HASHES = 5
-#: A list that needs a larger filter is joined instead.
-MOST_BYTES = 16_000_000
-
-
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -64,39 +57,6 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<name: string, verdict: string>"))
 
 
-@dataclass(frozen=True)
-class Filter:
-    salt: int
-    bits: int
-    data: bytes
-
-    def places(self, key: Column) -> list[Column]:
-        one, two = (F.pmod(F.xxhash64(F.lit(x), key), F.lit(self.bits)) for x in (self.salt, -1 - self.salt))
-        return [F.pmod(one + two * i, F.lit(self.bits)) for i in range(HASHES)]
-
-    def has(self, key: Column) -> Column:
-        found, data = F.lit(True), F.lit(self.data)
-        for p in self.places(key):
-            byte = F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))
-            value = F.conv(F.hex(byte), 16, 10).cast("int")
-            found = found & (value.bitwiseAND(F.pow(F.lit(2), p % 8).cast("int")) != 0)
-        return found
-
-
-def make_filter(keys: DataFrame, count: int, salt: int) -> Filter:
-    """A filter of the column key. Its words are combined by the executors; only set ones reach the driver."""
-    bits = max(64, math.ceil(count * BITS / 32) * 32)
-    empty = Filter(salt, bits, b"")
-    places = keys.select(F.explode(F.array(*empty.places(F.col("key")))).alias("p"))
-    word = places.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(
-        F.bit_or(F.pow(F.lit(2.0), F.col("p") % 32).cast("long")).alias("b")
-    )
-    data = bytearray(bits // 8)
-    for w, b in word.collect():
-        data[4 * w : 4 * w + 4] = b.to_bytes(4, "little")
-    return Filter(salt, bits, bytes(data))
-
-
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Filter]:
     """Filters for the listed keys among all keys of universe (each with a column key, without repeats)."""
     inside = checkpointed(universe.join(listed, "key", "left_semi"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import chat, components, decontaminate, media, mixing, near_dedup, quality, queries, secrets, sharding, tokens, urls
+from terrane.llm import bloom, chat, components, decontaminate, media, mixing, near_dedup, quality, queries, secrets, sharding, tokens, urls
 
 BASE = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -533,6 +533,17 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0
 
 
+def test_split_by_filter(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("k"))
+    keys = spark.range(0, 2000, 7).select(F.col("id").alias("key"))
+    may, rest = bloom.split(df, F.col("k"), keys)
+    assert may.count() + rest.count() == 2000 and may.count() < 500
+    assert rest.join(keys, F.col("k") == F.col("key"), "left_semi").isEmpty()
+    assert rest.filter("k is null").count() == 40
+    whole, none = bloom.split(df, F.col("k"), keys, most_bytes=10)
+    assert whole.count() == 2000 and none is None
+
+
 # --- 10 -----------------------------------------------------------------------------------------------
 
 
