@@ -53,7 +53,7 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about so many bytes together; one text is never cut."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     begin, total = 0, 0

@@ -25,8 +25,8 @@ from .common import checkpointed, fresh, plainly_named, slices
 
 WINDOW = 10
 #: Bytes of documents in a shard (one document is never cut) and of benchmark texts in a block.
-SHARD_BYTES = 6_000_000
-BLOCK_BYTES = 16_000_000
+SHARD_BYTES = 4_000_000
+BLOCK_BYTES = 4_000_000
 
 #: Words are runs of digits, letters a-z (A-Z lowered) and all bytes from 128 up; every other byte parts them.
 _FOLD = bytes(
