@@ -62,24 +62,23 @@ _DONE = "array<struct<id: bigint, source: string, size: bigint, extra: int>>"
 
 
 def _fold(items: Column) -> Column:
-    """Of items (r, id, source, size, mass, p), sorted: (done, rest), where rest is the one still fractional.
+    """Of items (r, draw, id, source, size, mass, p), sorted by r: (done, rest), where rest is the one still fractional.
 
-    mass is the words that the item stands for; p mass is passed between the item at hand and the one kept.
+    mass is the words that the item stands for; p mass is passed between the item at hand and the one kept. The
+    item's draw decides which way. It must not depend on r, or the draws would follow the order of the steps.
     """
 
     def settled(x: Column, extra: Column) -> Column:
         return F.array(F.struct(x["id"].alias("id"), x["source"].alias("source"), x["size"].alias("size"), extra.cast("int").alias("extra")))
 
     def kept(x: Column, p: Column) -> Column:
-        return F.struct(
-            x["r"].alias("r"), x["id"].alias("id"), x["source"].alias("source"), x["size"].alias("size"), x["mass"].alias("mass"), p.alias("p")
-        )
+        return F.struct(*(x[c].alias(c) for c in ("r", "draw", "id", "source", "size", "mass")), p.alias("p"))
 
     def step(state: Column, x: Column) -> Column:
         a = state["rest"]
         up = F.least((1 - a["p"]) * a["mass"], x["p"] * x["mass"])  # what a can take from x
         down = F.least(a["p"] * a["mass"], (1 - x["p"]) * x["mass"])
-        rises = x["r"] * (up + down) < down
+        rises = x["draw"] * (up + down) < down
         a_full = rises & ((1 - a["p"]) * a["mass"] <= x["p"] * x["mass"])
         a_none = ~rises & (a["p"] * a["mass"] <= (1 - x["p"]) * x["mass"])
         x_p = F.when(rises, x["p"] - up / x["mass"]).otherwise(x["p"] + down / x["mass"])
@@ -108,14 +107,15 @@ def rounded(fractions: DataFrame, most: int, seed: int = SEED, bucket: int = BUC
     while True:
         parts = -(-most // bucket)
         part = F.pmod(F.xxhash64(F.lit(seed + level), "id", "size"), F.lit(parts)) if parts > 1 else F.lit(0).cast("long")
-        item = F.struct(_random(seed + 100 + level, "id", "size").alias("r"), "id", "source", "size", "mass", "p")
+        order, draw = (_random(seed + salt + level, "id", "size") for salt in (100, 300))
+        item = F.struct(order.alias("r"), draw.alias("draw"), "id", "source", "size", "mass", "p")
         folded = (
             now.groupBy("source", part.alias("part"))
             .agg(F.sort_array(F.collect_list(item)).alias("items"))
             .select(_fold(F.col("items")).alias("f"))
         )
         done.append(folded.select(F.explode("f.done").alias("d")).select("d.*"))
-        now = folded.select("f.rest.*").drop("r")
+        now = folded.select("f.rest.*").drop("r", "draw")
         if parts == 1:
             break
         most, level = parts, level + 1

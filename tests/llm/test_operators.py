@@ -492,6 +492,20 @@ def test_rounding_keeps_expectation(spark):
     assert len({seen[i] for i in range(60)}) > 1
 
 
+def test_rounding_keeps_expectation_in_each_size_class(spark):
+    """Few items of a bucket are large; they must be taken as often as the small ones."""
+    items = spark.range(60 * 512).select(
+        "id",
+        F.concat(F.lit("s"), F.col("id") % 60).alias("source"),
+        F.expr("CASE WHEN crc32(cast(cast(id AS string) AS binary)) % 40 = 0 THEN 3000 WHEN id % 7 < 2 THEN 600 ELSE 150 END").cast("long").alias("size"),
+    )
+    items = items.select("*", F.col("size").cast("double").alias("mass"), F.lit(0.861).alias("p"))
+    for most in (512, 2 * 512):  # one level, and two
+        share = {r["size"]: r.taken for r in mixing.rounded(items, most).groupBy("size").agg(F.avg("extra").alias("taken")).collect()}
+        assert set(share) == {150, 600, 3000}
+        assert all(abs(taken - 0.861) < 0.04 for taken in share.values()), share
+
+
 # --- 9 ------------------------------------------------------------------------------------------------
 
 
