@@ -665,3 +665,13 @@ def test_pipeline(spark):
             bench = spark.read.parquet(f"{BASE}/benchmark.parquet").collect()
             assert not any(x[-1] for x in brute_hits([r.text for r in kept.collect()], [(r.item_id, r.text) for r in bench]))
     assert corpus_pipeline.run(spark, BASE).count() == kept.count()
+
+
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    """The first two texts share 50 of 60 shingles, 0.83; the third shares 45 of 65 with the first, 0.69."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(59)]
+    edited = {1: [], 2: [20], 3: [10, 30]}
+    rows = [(i, " ".join(f"x{i}" if n in at else w for n, w in enumerate(words)), "en", "a", 1) for i, at in edited.items()]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, DOCS), BASE)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
