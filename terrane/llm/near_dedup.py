@@ -308,18 +308,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("bucket", (-F.col("c.other")).alias("a"))
     )
     balls = checkpointed(members.join(centres, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct(), BANDS * rows)
+    own_class = classes.select("fp", F.col("id").alias("node"))
     links = checkpointed(confirmed(known, _estimated(balls, slim, percent, rows), percent, rows))
+    links = links.union(_of_one_id(signed, own_class, rows))
     labels = components(links, "a", "b")
     more = checkpointed(_across(known, balls, labels, slim, percent, rows))
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
 
-    own_class = classes.select("fp", F.col("id").alias("node"))
+    # a row without words goes by its id, which has links if another row of it has
     placed = (
         signed.select("id", "n", "fp")
         .join(own_class, "fp", "left")
+        .withColumn("node", F.coalesce("node", "id"))
         .join(labels, "node", "left")
-        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("node")), "id")).alias("component_id"))
+        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
     )
     return in_parts(placed, rows, ROWS_A_PART).select(
         F.col("id").alias(id_col),
@@ -329,6 +332,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _of_one_id(signed: DataFrame, own_class: DataFrame, rows: int) -> DataFrame:
+    """Links (a, b) from an id to the nodes of its classes, for ids whose rows have different sets."""
+    sets = signed.filter("id is not null").groupBy("id").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
+    several = checkpointed(sets.filter("least != most").select("id"), rows)
+    own = signed.select("id", "fp").join(several, "id", "left_semi").join(own_class, "fp")
+    return checkpointed(own.filter("id != node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), rows)
+
+
 def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFrame, percent: int, rows: int) -> DataFrame:
     """Links (a, b) between members of a ball that are in different components. The centre's own pairs are known."""
     inside = (

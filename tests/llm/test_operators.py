@@ -235,6 +235,17 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """An id's rows are one document: it joins the groups of all of its texts, in any order of ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b + " more"), (20, c), (21, d), (22, c), (22, d), (22, ""), (30, d + " more"), (30, None), (40, "x"), (40, "")]
+    rows += [(50, ""), (50, None), (None, a), (None, ""), (61, a + " one"), (60, b + " one"), (9, "y"), (9, "z"), (8, "z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    check_groups(docs)
+    left = near_dedup.deduplicated(docs)
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id) == [3, 8, 20, 40, 50]
+
+
 def test_sketches_estimate():
     rng = np.random.RandomState(2)
     whole = rng.randint(0, 2**63, 3000).astype(np.uint64)
