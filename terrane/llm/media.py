@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,10 @@ def wav(data: bytes, coding: int, rate: int = RATE) -> bytes:
     return struct.pack("<4sI4s", b"RIFF", 4 + len(chunks), b"WAVE") + chunks
 
 
+#: Bytes of a PCM file before its samples.
+PCM_HEAD = len(wav(b"", PCM))
+
+
 def read_wav(media: bytes) -> tuple[int, int, bytes]:
     """(coding, rate, coded samples) of a mono file. Raises ValueError for anything else."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
@@ -237,11 +241,20 @@ def decoded(docs: DataFrame, media_col: str = "media", out: str = "audio", pcm:
     return plain.mapInArrow(lambda b: _read(b, media, "audio", pcm), schema).toDF(*kept, fresh(kept, out))
 
 
+def stored_feature(audio: Column) -> Column:
+    """The feature of a struct of FEATURES, with the checksum of the samples that its pcm holds as stored."""
+    pcm, feature = audio["pcm"], audio["feature"]
+    samples = F.substring(pcm, F.lit(PCM_HEAD + 1), F.octet_length(pcm))
+    checksum = F.lpad(F.lower(F.hex(F.crc32(samples))), 8, "0")
+    return F.concat(F.substring(feature, F.lit(1), F.length(feature) - 8), checksum)
+
+
 def audio_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, payload and media sizes and digests, feature) for each row of docs."""
+    """(id, n_bytes, payload and media sizes and digests, feature) for each row of docs. The resampled PCM is built as a column too."""
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("t"))
     stored = with_audio(slim, "t", "media").drop("t")
-    read = decoded(stored, "media", "audio", pcm=False)
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    return read.select(F.col("id").alias(id_col), "n_bytes", *(F.col(f"audio.{n}").alias(n) for n in names))
+    read = decoded(stored, "media", "audio")
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    feature = stored_feature(F.col("audio")).alias("feature")
+    return read.select(F.col("id").alias(id_col), "n_bytes", *(F.col(f"audio.{n}").alias(n) for n in names), feature)

@@ -604,6 +604,20 @@ def test_audio_columns(spark, coding):
         assert r.audio.payload_sha256 == hashlib.sha256(media.payload(text)).hexdigest()
 
 
+def test_report_is_of_the_stored_pcm(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(("a" * 600, None, "b", "cd" * 999, "é"))], "doc_id long, text string")
+    report = media.audio_report(docs)
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"crc32\(substring\(audio#\d+\.pcm", plan)
+    read = media.decoded(media.with_audio(docs), "media")
+    whole = {r.doc_id: r.audio for r in read.collect()}
+    for r in report.collect():
+        assert r.feature == whole[r.doc_id].feature
+        assert r.feature.endswith(f"pcm16k={zlib.crc32(media.read_wav(bytes(whole[r.doc_id].pcm))[2]):08x}")
+    other = read.withColumn("audio", F.col("audio").withField("pcm", F.lit(media.wav(b"\1\0", media.PCM, 16_000))))
+    assert all(r.f.endswith(f"pcm16k={zlib.crc32(bytes((1, 0))):08x}") for r in other.select(media.stored_feature(F.col("audio")).alias("f")).collect())
+
+
 def slow_adpcm(block):
     now, step = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [now]
