@@ -57,12 +57,17 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<name: string, verdict: string>"))
 
 
-def cascade(listed: DataFrame, universe: DataFrame) -> list[Filter]:
-    """Filters for the listed keys among all keys of universe (each with a column key, without repeats)."""
+def cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Filter] | None:
+    """Filters for the listed keys among all keys of universe (each with a column key, without repeats).
+
+    None if one of them would take more than most_bytes: the later ones grow with the universe.
+    """
     inside = checkpointed(universe.join(listed, "key", "left_semi"))
     outside = checkpointed(universe.join(listed, "key", "left_anti"))
     levels: list[Filter] = []
     while count := inside.count():
+        if count * BITS > most_bytes * 8:
+            return None
         levels.append(make_filter(inside, count, len(levels)))
         wrong = checkpointed(outside.filter(levels[-1].has(F.col("key"))))
         inside, outside = wrong, inside
@@ -89,8 +94,9 @@ def judged(
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     universe = checkpointed(pages.select(host.alias("key")).distinct())
     keys = listed.select("key").filter("key is not null").distinct()
-    if keys.count() * BITS <= most_bytes * 8:
-        seen = pages.withColumn(names[4], listed_in(host, cascade(keys, universe)))
+    levels = cascade(keys, universe, most_bytes) if keys.count() * BITS <= most_bytes * 8 else None
+    if levels is not None:
+        seen = pages.withColumn(names[4], listed_in(host, levels))
     else:
         key = fresh(pages.columns, "key")
         flags = keys.select(F.col("key").alias(key), F.lit(True).alias(names[4]))

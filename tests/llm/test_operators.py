@@ -558,6 +558,17 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0
 
 
+def test_every_level_of_the_cascade_has_a_checked_size(spark):
+    """The list fits 64 bytes, the hosts that pass its filter by mistake do not: the list is joined."""
+    pages = spark.range(20_000).select(F.concat(F.lit("x://host"), "id", F.lit(".test/")).alias("url"))
+    listed = spark.range(0, 20_000, 500).select(F.concat(F.lit("host"), "id", F.lit(".test")).alias("key"))
+    for most, joins in ((64, True), (urls.MOST_BYTES, False)):
+        out = urls.judged(pages, listed, most_bytes=most)
+        assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == joins
+        blocked = {r.host for r in out.filter("verdict = 'block'").collect()}
+        assert blocked == {r.key for r in listed.collect()}
+
+
 def test_split_by_filter(spark):
     df = spark.range(2000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("k"))
     keys = spark.range(0, 2000, 7).select(F.col("id").alias("key"))
