@@ -47,6 +47,10 @@ class Transformer:
     def into(self, literal: str | None) -> Any:
         raise NotImplementedError
 
+    def nulls(self) -> list:
+        """The values that go in and come out as null."""
+        return [None]
+
     def _stored(self, text: str) -> Any:
         return integer(text) if self.inner in ("int", "long") else text
 
@@ -64,6 +68,9 @@ class NullIf(Transformer):
     def into(self, literal: str | None) -> Any:
         return self.value if literal == "null" else None if literal is None else self._stored(literal)
 
+    def nulls(self) -> list:
+        return [None, self.value]
+
 
 class IfNull(Transformer):
     """A public value that stands for a stored null."""
@@ -79,6 +86,9 @@ class IfNull(Transformer):
         stored = None if literal is None else self._stored(literal)
         return None if stored == self.value else stored
 
+    def nulls(self) -> list:
+        return []
+
 
 class Prefix(Transformer):
     def __init__(self, inner: str, arg: str):
@@ -207,6 +217,10 @@ class CodeList(Transformer):
             return None if wanted is None else UNKNOWN
         return stored[0] if len(stored) == 1 else stored
 
+    def nulls(self) -> list:
+        """Of the codes that the list has; others have no public value either."""
+        return [k for k, v in self.codes.items() if v is None] + ([] if None in self.codes else [None])
+
 
 class DayRange(tuple):
     """A stored timestamp on a day: from the first moment to before the second."""
@@ -286,11 +300,21 @@ class Chain(Transformer):
         return reduce(lambda x, t: t.out(x), self.steps, c)
 
     def into(self, literal: str | None) -> Any:
-        found: Any = literal
+        """What a step knows as several values, each of them goes on; a null goes on as all that the next step makes null."""
+        found = self._back(literal)
+        return None if literal is None else UNKNOWN if not found else found[0] if len(found) == 1 else found
+
+    def nulls(self) -> list:
+        return self._back(None)
+
+    def _back(self, value: str | None) -> list:
+        found: list = [value]
         for step in reversed(self.steps):
-            if found is None or found is UNKNOWN:
-                return found
-            found = step.into(found if isinstance(found, str) else str(found))
+            now: list = []
+            for x in found:
+                got = step.nulls() if x is None else step.into(x if isinstance(x, str) else str(x))
+                now += got if isinstance(got, list) else [got]
+            found = [x for i, x in enumerate(now) if x is not UNKNOWN and x not in now[:i]]
         return found
 
 

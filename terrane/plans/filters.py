@@ -55,8 +55,11 @@ class Like(Filter):
 
 @dataclass(frozen=True)
 class IsNull(Filter):
+    """What a request calls null is the public value. stored: the column itself, for a literal that stands for a stored null."""
+
     prop: Property = None
     negated: bool = False
+    stored: bool = False
 
 
 @dataclass(frozen=True)
@@ -155,7 +158,7 @@ def _equal_stored(prop: Property, value: Any, casei: bool) -> Filter:
     if value is UNKNOWN:
         return DENY
     if value is None:
-        return IsNull(prop=prop)
+        return IsNull(prop=prop, stored=True)
     if isinstance(value, DayRange):
         return And(of=(Compare(op=">=", prop=prop, value=value[0]), Compare(op="<", prop=prop, value=value[1])))
     if isinstance(value, list):
@@ -170,7 +173,7 @@ def not_equal(prop: Property, text: str | None, casei: bool = False) -> Filter:
     if value is UNKNOWN:
         return PASS
     if value is None:
-        return IsNull(prop=prop, negated=True)
+        return IsNull(prop=prop, negated=True, stored=True)
     if isinstance(value, (DayRange, list)):
         return negated(_equal_stored(prop, value, casei))
     return Compare(op="<>", prop=prop, value=value, casei=casei)
@@ -301,7 +304,8 @@ def to_column(f: Filter, fold=F.lower) -> Column:
     if isinstance(f, Not):
         return ~to_column(f.inner, fold)
     if isinstance(f, IsNull):
-        return f.prop.public.isNotNull() if f.negated else f.prop.public.isNull()
+        value = f.prop.stored if f.stored else f.prop.public
+        return value.isNotNull() if f.negated else value.isNull()
     if isinstance(f, Compare):
         a, b = f.prop.stored, _value(f.value, f.prop.kind)
         if f.casei and f.prop.kind == "string":

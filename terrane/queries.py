@@ -48,6 +48,8 @@ def catalog(base: str) -> Catalog:
             static("version", "'7'"),
             p("no_p", "o_orderstatus", "string", "orders", transformer=transformers.NullIf("string", "P")),
             p("no_p_dash", "o_orderstatus", "string", "orders", transformer=transformers.Chain("string", "NullIf(P) | IfNull(-)")),
+            p("gap_dash", "nullif(o_orderstatus, 'P')", "string", transformer=transformers.IfNull("string", "-")),
+            p("gap_code", "nullif(o_orderstatus, 'P')", "string", transformer=transformers.CodeList("string", {"F": "done", "O": "open", "$null": "none"})),
             p("key_text", "o_orderkey", "long", "orders", transformer=transformers.Prefix("long", "order.")),
             p("key_fixed", "o_orderkey", "long", "orders", transformer=transformers.FixedLength("long", "9")),
             p("status", "o_orderstatus", "string", "orders", transformer=transformers.CodeList("string", {"F": "done", "O": "open", "P": "open", "$null": "none"})),
@@ -228,6 +230,15 @@ _TR_SQL = """SELECT o_orderkey, nullif(o_orderstatus, 'P') AS no_p, coalesce(nul
 items("tr_output", "orders", _TR, _TR_SQL + "true")
 items("tr_nullif", "orders", {**_TR, "filter": "no_p = 'null'"}, _TR_SQL + "o_orderstatus = 'P'")
 items("tr_ifnull", "orders", {**_TR, "filter": "no_p_dash = 'F'"}, _TR_SQL + "o_orderstatus = 'F'")
+_GAP = {"properties": "gap_dash,gap_code"}
+_GAP_SQL = "SELECT o_orderkey, coalesce(s, '-') AS gap_dash, CASE s WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'none' END AS gap_code FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders) WHERE "
+items("ifnull_equal_null", "orders", {**_GAP, "filter": "gap_dash = '-'"}, _GAP_SQL + "s IS NULL")
+items("ifnull_not_equal", "orders", {**_GAP, "filter": "gap_dash <> '-'"}, _GAP_SQL + "s IS NOT NULL")
+items("ifnull_in", "orders", {**_GAP, "filter": "gap_dash IN ('-', 'F')"}, _GAP_SQL + "s IS NULL OR s = 'F'")
+items("codelist_null_equal", "orders", {**_GAP, "filter": "gap_code = 'none'"}, _GAP_SQL + "s IS NULL")
+items("codelist_null_not_equal", "orders", {**_GAP, "filter": "gap_code <> 'none'"}, _GAP_SQL + "s IS NOT NULL")
+items("ifnull_is_null", "orders", {**_GAP, "filter": "gap_dash IS NULL OR gap_code IS NULL"}, _GAP_SQL + "false")
+items("chain_null_equal", "orders", {"properties": "no_p_dash", "filter": "no_p_dash = '-'"}, "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '-') AS no_p_dash FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus = 'P'")
 items("tr_prefix", "orders", {**_TR, "filter": "key_text = 'order.7' OR key_text = 'nothing'"}, _TR_SQL + "o_orderkey = 7")
 items("tr_fixedlen", "orders", {**_TR, "filter": "key_fixed IN ('000000007','000000032')"}, _TR_SQL + "o_orderkey IN (7, 32)")
 items("tr_codelist", "orders", {**_TR, "filter": "status = 'done'"}, _TR_SQL + "o_orderstatus = 'F'")
