@@ -2,11 +2,15 @@
 
 Only numbers leave the encoding pass. Lengths are combined before the one shuffle, so a length that very
 many documents share is one row a task.
+
+The pattern that cuts a text before byte pairs are merged steps back over a run of blanks one by one, on a stack:
+a run of a million ends the process. What it does with such a run is known, so long runs are cut out before.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,40 +23,65 @@ from .common import checkpointed, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before byte pairs are merged: the public pattern that belongs to this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of so many blanks are cut out before. Blanks are the characters that \s means in the pattern.
+LONG_RUN = 1024
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, str], object] = {}
 
 
-def encoder(vocabulary: str):
+def encoder(vocabulary: str, pattern: str = PATTERN):
     """The tokenizer of a rank file, read once a process."""
-    if vocabulary not in _loaded:
+    if (vocabulary, pattern) not in _loaded:
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _loaded[vocabulary]
+        _loaded[vocabulary, pattern] = tiktoken.Encoding(vocabulary, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[vocabulary, pattern]
+
+
+def runs_apart(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts, and whether a part is a long run of blanks that is one piece to the pattern.
+
+    Of a run before another character all blanks but the last are a piece, at the end of a text all of them. The
+    last one stays with what follows, and no piece before a run reaches into it, so the parts' pieces are the text's.
+    """
+    at = 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+def token_count(text: str | None, vocabulary: str = VOCABULARY) -> int:
+    """Tokens of a whole text; null and empty have 0."""
+    if not text:
+        return 0
+    encode, whole = encoder(vocabulary).encode_ordinary, encoder(vocabulary, r"[\s\S]+").encode_ordinary
+    return sum(len((whole if run else encode)(part)) for part, run in runs_apart(text))
 
 
 def _encoded(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
-        for whole in batches:
-            for begin, end in slices(whole, "text"):
-                texts = whole.column("text").slice(begin, end - begin).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) if t else 0 for t in texts], pa.int64())], ["length"])
+        for batch in batches:
+            for begin, end in slices(batch, "text"):
+                texts = batch.column("text").slice(begin, end - begin).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([token_count(t, vocabulary) for t in texts], pa.int64())], ["length"])
 
     return run
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length) in tokens of each whole text; null and empty texts have 0. The file must be on each executor."""
+    """(length) in tokens of each whole text, row by row; null and empty texts have 0. The file must be on each executor."""
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_encoded(vocabulary), "length long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """(length, n_docs), one row for each length that occurs."""
+    """(length, n_docs), one row for each length that occurs. Repeated rows count each; an empty table gives none."""
     return lengths.groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
