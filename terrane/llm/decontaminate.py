@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 The documents are cut into shards of a few megabytes where they lie, with no shuffle. Each shard gets a
-suffix array over its words. Every window of the benchmark is binary-searched in it: the range found is
-the list of all its verbatim occurrences. From each occurrence the match is followed on through the
-benchmark's own suffix array, to the longest verbatim match and its place in document and item.
-Documents with an occurrence are then removed.
-
-The benchmark is the stated query set. It is sent to the tasks in blocks of a bounded size; with more
-than one block the passes are chained, and each adds to the spans and items that a row carries.
+suffix array over its words. Every suffix of the benchmark that is a window or more is binary-searched in it: the
+range found is the list of all its verbatim occurrences. The training suffixes found in this way, and only they,
+can hold a match; they and the benchmark's own suffixes are then ordered to their very end by prefix doubling, and
+a suffix's longest verbatim match is with a neighbour in that order. The work grows with the words that match
+times the logarithm of the longest match. Documents with an occurrence are removed.
+
+The benchmark is the stated query set. It is sent to the tasks in blocks of a bounded size. A task makes a
+shard's suffix array once and searches it for one block after the other, so the documents are read once; with
+many blocks a task reads each from its machine's copy of the broadcast when its turn comes, and lets it go.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,8 @@ WINDOW = 10
 #: Bytes of documents in a shard (one document is never cut) and of benchmark texts in a block.
 SHARD_BYTES = 4_000_000
 BLOCK_BYTES = 4_000_000
+#: Blocks that a task keeps in memory; of more than that it has one at a time.
+KEPT_BLOCKS = 4
 
 #: Words are runs of digits, letters a-z (A-Z lowered) and all bytes from 128 up; every other byte parts them.
 _FOLD = bytes(
@@ -79,130 +84,206 @@ def equal_range(t: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[
     return ends[0], ends[1]
 
 
+@dataclass
+class Windows:
+    """The benchmark's windows of one width."""
+
+    width: int
+    at: np.ndarray  #: where in the block's words each window begins
+    group: np.ndarray  #: which distinct window it is
+    first: np.ndarray  #: where each distinct window begins first
+    cuts: np.ndarray  #: where in `owners` the items of a distinct window begin
+    owners: np.ndarray
+
+
 @dataclass
 class Block:
     """A bounded part of the benchmark, ready to be searched for."""
 
     words: list[bytes]
     t: np.ndarray  #: the items' words by number from 1, a 0 after each item
-    order: np.ndarray  #: the full suffix array of t
     item: np.ndarray  #: of each place in t
-    start: np.ndarray  #: where that item begins in t
-    windows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  #: by length: words, set of items, range in order
-    sets: list[list[int]]
-    ids: list[str]
+    place: np.ndarray  #: of each place in t, within its item
+    ids: list[str]  #: of the items, in order
+    windows: list[Windows]
+
+
+def _numbered(words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, all words by number from 1 with a 0 after each list, lengths, where the lists begin)."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    begins = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.int64)
+    flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
+    t = np.zeros(begins[-1], np.int32)
+    inside = np.ones(begins[-1], bool)
+    inside[begins[1:] - 1] = False
+    t[inside] = flat.indices.to_numpy(zero_copy_only=False) + 1
+    return flat.dictionary.to_pylist(), t, lengths, begins
 
 
 def make_block(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> Block:
-    split = [(i, split_words(text)) for i, text in items]
-    split = [(i, w) for i, w in split if w]
-    number: dict[bytes, int] = {}
-    parts, item, start, at = [], [], [], 0
-    for k, (_, w) in enumerate(split):
-        parts.append(np.array([number.setdefault(x, len(number) + 1) for x in w] + [0], np.int64))
-        item.append(np.full(len(w) + 1, k))
-        start.append(np.full(len(w) + 1, at))
-        at += len(w) + 1
-    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    t, item, start = cat(parts), cat(item), cat(start)
-    order = suffix_order(t, max((len(w) + 1 for _, w in split), default=1))
-    sets: dict[tuple[int, ...], int] = {}
+    split = [(i, w) for i, text in items if (w := split_words(text))]
+    ids = sorted({i for i, _ in split})
+    number = {i: k for k, i in enumerate(ids)}
+    words, t, lengths, begins = _numbered([w for _, w in split])
+    item = np.repeat(np.array([number[i] for i, _ in split], np.int32), lengths + 1)
+    place = (np.arange(len(t)) - np.repeat(begins[:-1], lengths + 1)).astype(np.int32)
+    widths = np.minimum(window, lengths)
     windows = []
-    for width in sorted({min(window, len(w)) for _, w in split}):
-        mine = [(p, k) for k, (_, w) in enumerate(split) if min(window, len(w)) == width for p in range(len(w) - width + 1)]
-        begin = {k: int(p) for k, p in zip(item.tolist(), start.tolist(), strict=True)}
-        places = np.array([begin[k] + p for p, k in mine])
-        rows, group = np.unique(t[places[:, None] + np.arange(width)], axis=0, return_inverse=True)
-        owners: list[set[int]] = [set() for _ in range(len(rows))]
-        for g, (_, k) in zip(group.ravel().tolist(), mine, strict=True):
-            owners[g].add(k)
-        number_of = np.array([sets.setdefault(tuple(sorted(o)), len(sets)) for o in owners])
-        windows.append((rows, number_of, *equal_range(t, order, rows)))
-    return Block(list(number), t, order, item, start, windows, [list(s) for s in sets], [i for i, _ in split])
+    for width in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == width)
+        at = np.concatenate([np.arange(b, b + n - width + 1) for b, n in zip(begins[mine].tolist(), lengths[mine].tolist(), strict=True)])
+        _, first, group = np.unique(t[at[:, None] + np.arange(width)], axis=0, return_index=True, return_inverse=True)
+        group = group.ravel()
+        both = np.unique(group * len(ids) + item[at])
+        cuts = np.searchsorted(both, np.arange(len(first) + 1) * len(ids))
+        windows.append(Windows(width, at.astype(np.int32), group.astype(np.int32), at[first].astype(np.int32), cuts, (both % len(ids)).astype(np.int32)))
+    return Block(words, t, item, place, ids, windows)
 
 
-@dataclass
-class Found:
-    """What a shard's documents have in common with a block, by document."""
-
-    n_words: np.ndarray
-    hit: np.ndarray  #: of each word of the shard
-    begins: np.ndarray
-    items: dict[int, set[str]]
-    longest: dict[int, tuple[int, int, str, int]]  #: words, place in the document, item, place in the item
-
-
-def _follow(block: Block, theirs: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int):
-    """How far the text from each place on stays in the block's suffix array; the first suffix that goes so far."""
-    length, suffix = np.full(len(place), depth), block.order[lo] if len(lo) else lo
-    alive = np.arange(len(place))
-    lo, hi = lo.copy(), hi.copy()
-    while alive.size:
-        x = theirs[place[alive] + depth]
-        ends = []
-        for upper in (False, True):
-            a, b = lo[alive].copy(), hi[alive].copy()
-            while (go := np.flatnonzero(a < b)).size:
-                mid = (a[go] + b[go]) >> 1
-                y = block.t[block.order[mid] + depth]
-                below = (y <= x[go]) if upper else (y < x[go])
-                a[go[below]] = mid[below] + 1
-                b[go[~below]] = mid[~below]
-            ends.append(a)
-        on = (x > 0) & (ends[0] < ends[1])
-        alive, depth = alive[on], depth + 1
-        lo[alive], hi[alive] = ends[0][on], ends[1][on]
-        length[alive], suffix[alive] = depth, block.order[lo[alive]]
-    return length, suffix
-
-
-def search_shard(texts: list[bytes | None], block: Block, window: int = WINDOW) -> Found:
-    words = [split_words(x) for x in texts]
-    n_words = np.fromiter(map(len, words), np.int64, len(words))
-    begins = np.concatenate([[0], np.cumsum(n_words + 1)])
-    t = np.zeros(begins[-1] + window, np.int64)
-    doc = np.repeat(np.arange(len(words)), n_words + 1)
-    flat = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
-    inside = np.ones(begins[-1], bool)
-    inside[begins[1:] - 1] = False
-    t[: begins[-1]][inside] = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    found = Found(n_words, np.zeros(begins[-1], bool), begins, {}, {})
-    if not len(flat) or not block.windows:
-        return found
-    here = {w: i + 1 for i, w in enumerate(flat.dictionary.to_pylist())}
-    to_shard = np.array([0] + [here.get(w, -1) for w in block.words])
-    to_block = np.zeros(len(here) + 1, np.int64)
-    known = to_shard[1:] > 0
-    to_block[to_shard[1:][known]] = np.flatnonzero(known) + 1
-    order = suffix_order(t[: begins[-1]], window)
-    theirs = np.concatenate([to_block[t], [0]])
-    change = np.zeros(begins[-1] + 1, np.int64)
-    pairs = []
-    for rows, sets, first, last in block.windows:
-        query = to_shard[rows]
-        able = np.flatnonzero((query > 0).all(axis=1))
-        lo, hi = equal_range(t, order, query[able])
-        count = hi - lo
-        which = np.repeat(able, count)
-        place = order[np.repeat(hi - np.cumsum(count), count) + np.arange(count.sum())]
-        np.add.at(change, place, 1)
-        np.add.at(change, place + rows.shape[1], -1)
-        pairs.append(np.unique(np.stack([doc[place], sets[which]], axis=1), axis=0))
-        length, suffix = _follow(block, theirs, place, first[which], last[which], rows.shape[1])
-        best = np.lexsort((place, -length, doc[place]))
-        _, head = np.unique(doc[place[best]], return_index=True)
-        for i in best[head].tolist():
-            d, s = int(doc[place[i]]), int(suffix[i])
-            one = (int(length[i]), int(place[i] - begins[d]), block.ids[block.item[s]], int(s - block.start[s]))
-            found.longest[d] = max(found.longest.get(d, one), one, key=lambda x: (x[0], -x[1]))
-    for d, s in np.concatenate(pairs).tolist():
-        found.items.setdefault(d, set()).update(block.ids[k] for k in block.sets[s])
-    found.hit = np.cumsum(change[:-1]) > 0
-    return found
-
-
-def _spans(hit: np.ndarray) -> list[int]:
-    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
+#: (words, place in the document, item, place in the item); a longer one is better, then the least of the rest.
+Match = tuple[int, int, str, int]
+
+
+def better(a: Match | None, b: Match) -> Match:
+    return b if a is None or (-b[0], *b[1:]) < (-a[0], *a[1:]) else a
+
+
+class Suffixes:
+    """All suffixes of some runs of numbers, ordered to their ends by prefix doubling.
+
+    s: the numbers, 0 where no run is. A suffix ends with its run.
+    """
+
+    def __init__(self, s: np.ndarray):
+        self.at = np.flatnonzero(s)
+        self.slot = np.full(len(s) + 1, -1, np.int64)
+        self.slot[self.at] = np.arange(len(self.at))
+        gaps = np.flatnonzero(np.concatenate([s, [0]]) == 0)
+        self.left = gaps[np.searchsorted(gaps, self.at)] - self.at
+        rank = s[self.at].astype(np.int64)
+        self.ranks, step = [rank], 1
+        while (self.left > step).any():
+            on = self.left > step
+            after = np.zeros(len(rank), np.int64)
+            after[on] = rank[self.slot[self.at[on] + step]]
+            _, rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)
+            rank = rank.ravel() + 1
+            self.ranks.append(rank)
+            step *= 2
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How long the suffixes in slots a and b agree, pair by pair."""
+        agreed, most = np.zeros(len(a), np.int64), np.minimum(self.left[a], self.left[b])
+        for k in range(len(self.ranks) - 1, -1, -1):
+            on = np.flatnonzero(agreed < most)
+            x, y = (self.slot[self.at[i[on]] + agreed[on]] for i in (a, b))
+            same = on[self.ranks[k][x] == self.ranks[k][y]]
+            agreed[same] = np.minimum(agreed[same] + 2**k, most[same])
+        return agreed
+
+
+class Shard:
+    """Some documents, their suffix array, and what has been found in them."""
+
+    def __init__(self, texts: list[bytes | None], window: int = WINDOW):
+        self.window = window
+        words, self.t, self.n_words, self.begins = _numbered([split_words(x) for x in texts])
+        self.doc = np.repeat(np.arange(len(texts)), self.n_words + 1)
+        self.number = {w: i for i, w in enumerate(words, 1)}
+        self.order = suffix_order(self.t, window) if len(words) else None
+        self.hit = np.zeros(len(self.t), bool)
+        self.items: dict[int, set[str]] = {}
+        self.longest: dict[int, Match] = {}
+
+    def search(self, block: Block) -> None:
+        if self.order is None or not block.words:
+            return
+        known = np.array([0] + [self.number.get(w, -1) for w in block.words], np.int32)
+        change = np.zeros(len(self.t) + 1, np.int64)
+        for w in block.windows:
+            query = known[block.t[w.first[:, None] + np.arange(w.width)]]
+            able = np.flatnonzero((query > 0).all(axis=1))
+            lo, hi = equal_range(self.t, self.order, query[able])
+            count = hi - lo
+            if not count.any():
+                continue
+            which = np.repeat(able, count)
+            place = self.order[np.repeat(hi - np.cumsum(count), count) + np.arange(count.sum())]
+            np.add.at(change, place, 1)
+            np.add.at(change, place + w.width, -1)
+            both = np.unique(self.doc[place] * len(w.first) + which)
+            doc, group = both // len(w.first), both % len(w.first)
+            for d, g in zip(doc.tolist(), group.tolist(), strict=True):
+                self.items.setdefault(d, set()).update(block.ids[i] for i in w.owners[w.cuts[g] : w.cuts[g + 1]].tolist())
+            if w.width < self.window:
+                self._whole_items(block, w, which, place)
+            else:
+                self._longest(block, w, which, place)
+        self.hit |= np.cumsum(change[:-1]) > 0
+
+    def _best(self, length: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of some matches: the index of each document's longest, the first of equally long ones."""
+        best = np.lexsort((place, -length, self.doc[place]))
+        return best[np.unique(self.doc[place[best]], return_index=True)[1]]
+
+    def _take(self, place: int, length: int, item: str, item_place: int) -> None:
+        d = int(self.doc[place])
+        self.longest[d] = better(self.longest.get(d), (length, int(place - self.begins[d]), item, item_place))
+
+    def _whole_items(self, block: Block, w: Windows, which: np.ndarray, place: np.ndarray) -> None:
+        """Items shorter than a window match as a whole."""
+        for i in self._best(np.full(len(place), w.width), place).tolist():
+            self._take(place[i], w.width, block.ids[w.owners[w.cuts[which[i]]]], 0)
+
+    def _longest(self, block: Block, w: Windows, which: np.ndarray, place: np.ndarray) -> None:
+        """Follow runs of windows that are the same here and in the benchmark."""
+        ours = np.zeros(len(self.t) + 1, np.int64)
+        ours[place] = which + 1
+        here = np.zeros(len(w.first), bool)
+        here[which] = True
+        theirs = np.zeros(len(block.t), np.int64)
+        theirs[w.at] = np.where(here[w.group], w.group + 1, 0)
+        whole = Suffixes(np.concatenate([ours, theirs]))
+        rank, mine = whole.ranks[-1], whole.at < len(ours)
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+        b = b[np.argsort(rank[b], kind="stable")]
+        after = np.searchsorted(rank[b], rank[a])
+        near = np.stack([np.maximum(after - 1, 0), np.minimum(after, len(b) - 1)])
+        agreed = np.stack([whole.common(a, b[n]) for n in near])
+        side = agreed.argmax(axis=0)
+        length, nearest = agreed.max(axis=0), near[side, np.arange(len(a))]
+        along = whole.common(b[:-1], b[1:])  # suffixes of the benchmark that agree stand side by side
+        at = whole.at[b] - len(ours)
+        item_place = block.item[at].astype(np.int64) << 32 | block.place[at]
+        seen: dict[tuple[int, int], int] = {}
+        for i in self._best(length, whole.at[a]).tolist():
+            n, j = int(length[i]), int(nearest[i])
+            if (j, n) not in seen:
+                low = high = j
+                while low and along[low - 1] >= n:
+                    low -= 1
+                while high < len(along) and along[high] >= n:
+                    high += 1
+                seen[j, n] = int(item_place[low : high + 1].min())
+            found = seen[j, n]
+            self._take(whole.at[a[i]], n + w.width - 1, block.ids[found >> 32], found & 0xFFFFFFFF)
+
+    def found(self) -> pa.StructArray:
+        """A row of STATE for each document."""
+        edge = np.diff(np.concatenate([[0], self.hit.astype(np.int8), [0]]))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        doc = self.doc[begin]
+        spans = np.stack([begin - self.begins[doc], end - self.begins[doc]], axis=1).ravel()
+        cuts = 2 * np.searchsorted(doc, np.arange(len(self.n_words) + 1))
+        items = [sorted(self.items.get(d, ())) for d in range(len(self.n_words))]
+        longest = [self.longest.get(d, (0, None, None, None)) for d in range(len(self.n_words))]
+        columns = [
+            pa.array(self.n_words),
+            pa.ListArray.from_arrays(cuts.astype(np.int32), spans.astype(np.int64)),
+            pa.array(items, pa.list_(pa.string())),
+            *(pa.array([m[i] for m in longest], pa.string() if i == 2 else pa.int64()) for i in range(4)),
+        ]
+        return pa.StructArray.from_arrays(columns, [f.name for f in STATE.fields])
 
 
 STATE = T.StructType(
@@ -216,52 +297,19 @@ STATE = T.StructType(
         T.StructField("longest_item_start", T.LongType()),
     ]
 )
-_ARROW = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("spans", pa.list_(pa.int64())),
-        ("items", pa.list_(pa.string())),
-        ("longest", pa.int64()),
-        ("longest_start", pa.int64()),
-        ("longest_item", pa.string()),
-        ("longest_item_start", pa.int64()),
-    ]
-)
 
 
-def _pass(blocks, text: str, state: str, first: bool, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searched(blocks: list[Broadcast], text: str, state: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin, end in slices(whole, text, SHARD_BYTES):
                 batch = whole.slice(begin, end - begin)
-                found = search_shard(batch.column(text).cast(pa.binary()).to_pylist(), blocks.value, window)
-                before = [None] * len(batch) if first else batch.column(state).to_pylist()
-                now = []
-                for d, was in enumerate(before):
-                    n = int(found.n_words[d])
-                    hit = found.hit[found.begins[d] : found.begins[d] + n]
-                    items, (length, place, item, item_place) = found.items.get(d, set()), found.longest.get(d, (0, None, None, None))
-                    if was:
-                        hit = hit.copy()
-                        for a, b in zip(was["spans"][::2], was["spans"][1::2], strict=True):
-                            hit[a:b] = True
-                        items = items | set(was["items"])
-                        if was["longest"] >= length:
-                            length, place, item, item_place = (was[k] for k in ("longest", "longest_start", "longest_item", "longest_item_start"))
-                    now.append(
-                        {
-                            "n_words": n,
-                            "spans": _spans(hit) if hit.any() else [],
-                            "items": sorted(items),
-                            "longest": length,
-                            "longest_start": place,
-                            "longest_item": item,
-                            "longest_item_start": item_place,
-                        }
-                    )
-                columns = batch.columns if first else batch.columns[:-1]
-                names = batch.schema.names if first else batch.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(now, _ARROW)], [*names, state])
+                shard = Shard(batch.column(text).cast(pa.binary()).to_pylist(), window)
+                for block in blocks:
+                    shard.search(block.value)
+                    if len(blocks) > KEPT_BLOCKS and getattr(block, "_path", None):
+                        block.__dict__.pop("_value", None)  # the file of the broadcast stays
+                yield pa.RecordBatch.from_arrays([*batch.columns, shard.found()], [*batch.schema.names, state])
 
     return run
 
@@ -272,9 +320,13 @@ def with_matches(
     """docs and a struct column `out`: n_words, spans of hit words (start, end, start, ...), items, the longest match.
 
     A word is hit if it lies in any occurrence of a window: `window` consecutive words of an item, or all
-    words of a shorter one. Null and empty texts have no words. An item without words matches nothing; a
-    null item id counts as the string null; repeated items count once. Rows, repeated ones too, are
-    judged one by one, and all columns pass through.
+    words of a shorter one. The longest match is that of most words that stand in a row in the document and in one
+    item, from a window up (or a whole shorter item); of equally long ones the first in the document, then the one of
+    the least item, then the first in that. Without any its length is 0 and its places are null.
+
+    Null and empty texts have no words. An item without words matches nothing; a null item id counts as the
+    string null; repeated items count once. Rows, repeated ones too, are judged one by one, all columns pass
+    through, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     items = benchmark.select(
@@ -282,20 +334,21 @@ def with_matches(
     ).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // block_bytes))
-    now, names = plainly_named(docs)
-    schema = T.StructType([*now.schema.fields, T.StructField("state", STATE)])
+    items = items if count == 1 else checkpointed(items, total)
+    blocks = []
     for k in range(count):
-        part = items if count == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
-        rows = [(r.i, r.t.encode() if r.t else None) for r in part.collect()]
-        now = now.mapInArrow(_pass(spark.sparkContext.broadcast(make_block(rows, window)), names[text_col], "state", k == 0, window), schema)
-        if k % 4 == 3:  # each pass has Python workers of its own
-            now = checkpointed(now)
-    return now.toDF(*docs.columns, out)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest match and its places) for each row."""
-    m = with_matches(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), benchmark, text_col, "item_id", "text", fresh([id_col, text_col], "m"), window)
+        part = (items if count == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)).toArrow()
+        rows = list(zip(part["i"].to_pylist(), part["t"].cast(pa.binary()).to_pylist(), strict=True))
+        blocks.append(spark.sparkContext.broadcast(make_block(rows, window)))
+    plain, names = plainly_named(docs)
+    schema = T.StructType([*plain.schema.fields, T.StructField("state", STATE)])
+    return plain.mapInArrow(_searched(blocks, names[text_col], "state", window), schema).toDF(*docs.columns, out)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **more) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, longest match and its places) for each row, as with_matches has them."""
+    slim = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    m = with_matches(slim, benchmark, text_col, "item_id", "text", fresh([id_col, text_col], "m"), window, **more)
     m = m.withColumnRenamed(m.columns[-1], "m")
     spans = F.col("m.spans")
     n_hit = F.aggregate(
@@ -316,7 +369,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs; order and columns stay."""
+    """docs without the rows in which a window of the benchmark occurs; the columns stay.
+
+    Null and empty texts stay; repeated rows are judged one by one; without a benchmark all rows stay.
+    """
     out = fresh(docs.columns, "matches")
     found = with_matches(docs, benchmark, text_col, "item_id", "text", out, window)
     return found.filter(F.size(f"{out}.items") == 0).drop(out)
