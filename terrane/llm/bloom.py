@@ -1,4 +1,9 @@
-"""Bloom filters that DataFrame operations make and ask: binary literals of a checked size in the plan."""
+"""Bloom filters that DataFrame operations make and ask.
+
+A filter is an array of 64-bit words in a table of one row. The executors combine the words; a query takes the
+row as a scalar subquery, so the words go from the JVM's driver to the tasks with the stage, once for all the
+places that ask, and neither Python nor the text of a plan holds them. Sizes are checked before one is made.
+"""
 
 from __future__ import annotations
 
@@ -8,44 +13,48 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Bits a key and hashes of a filter: about one mistake in 50.
 BITS = 8
 HASHES = 5
 #: Where a filter would be larger, joins take its place.
 MOST_BYTES = 16_000_000
+#: Words that one row of the first combining step holds.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
 class Filter:
     salt: int
-    bits: int
-    data: bytes
+    size: int  #: 64-bit words
+    hashes: int
+    table: DataFrame  #: one row, column words
 
     def places(self, key: Column) -> list[Column]:
-        one, two = (F.pmod(F.xxhash64(F.lit(x), key), F.lit(self.bits)) for x in (self.salt, -1 - self.salt))
-        return [F.pmod(one + two * i, F.lit(self.bits)) for i in range(HASHES)]
+        bits = F.lit(self.size * 64)
+        one, two = (F.pmod(F.xxhash64(F.lit(x), key), bits) for x in (self.salt, -1 - self.salt))
+        return [F.pmod(one + two * i, bits) for i in range(self.hashes)]
 
     def has(self, key: Column) -> Column:
-        found, data = F.lit(True), F.lit(self.data)
+        found, words = F.lit(True), self.table.scalar()
         for p in self.places(key):
-            byte = F.substring(data, (F.floor(p / 8) + 1).cast("int"), F.lit(1))
-            value = F.conv(F.hex(byte), 16, 10).cast("int")
-            found = found & (value.bitwiseAND(F.pow(F.lit(2), p % 8).cast("int")) != 0)
+            word = F.get(words, F.floor(p / 64).cast("int"))
+            found = found & (F.getbit(word, (p % 64).cast("int")) == 1)
         return found
 
 
-def make_filter(keys: DataFrame, count: int, salt: int) -> Filter:
-    """A filter of the column key. Its words are combined by the executors; only set ones reach the driver."""
-    bits = max(64, math.ceil(count * BITS / 32) * 32)
-    empty = Filter(salt, bits, b"")
-    places = keys.select(F.explode(F.array(*empty.places(F.col("key")))).alias("p"))
-    word = places.groupBy((F.col("p") / 32).cast("int").alias("w")).agg(
-        F.bit_or(F.pow(F.lit(2.0), F.col("p") % 32).cast("long")).alias("b")
-    )
-    data = bytearray(bits // 8)
-    for w, b in word.collect():
-        data[4 * w : 4 * w + 4] = b.to_bytes(4, "little")
-    return Filter(salt, bits, bytes(data))
+def make_filter(keys: DataFrame, count: int, salt: int, bits: float = BITS, hashes: int = HASHES) -> Filter:
+    """A filter of the column key, with so many bits for each of count keys."""
+    size = max(1, math.ceil(count * bits / 64))
+    places = Filter(salt, size, hashes, keys).places(F.col("key"))
+    ones = keys.select(F.explode(F.array(*places)).alias("p")).select(F.floor(F.col("p") / 64).alias("w"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("b"))
+    none = keys.sparkSession.range(size).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = ones.union(none).groupBy("w").agg(F.bit_or("b").alias("b"))
+    in_order = lambda: F.sort_array(F.collect_list(F.struct("w", "b")))
+    blocks = words.groupBy(F.floor(F.col("w") / BLOCK).alias("block")).agg(F.transform(in_order(), lambda x: x["b"]).alias("b"))
+    whole = blocks.withColumnRenamed("block", "w").agg(F.flatten(F.transform(in_order(), lambda x: x["b"])).alias("words"))
+    return Filter(salt, size, hashes, checkpointed(whole))
 
 
 def filter_of(keys: DataFrame, most_bytes: int | None = None) -> Filter | None:

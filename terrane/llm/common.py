@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -15,29 +18,47 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes in a part of a table that is written, as Spark's own joining of small partitions has them in the order of magnitude.
+PART_BYTES = 16_000_000
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, rows: int | None = None, a_part: int = 100_000) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    rows: a bound on the table's rows, if one is known; then it is written in parts of about a_part rows, not in
-    as many files as there are shuffle partitions. The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a laptop) a
-    temporary one is made.
+    Where that is unset and Spark runs in this process alone (tests, a laptop), a temporary folder that goes with
+    the process. On a cluster without the setting: RuntimeError, since other machines would not see such a folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    if known := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return known.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _made:
+        _made.append(tempfile.mkdtemp(prefix="terrane-"))
+        atexit.register(shutil.rmtree, _made[0], ignore_errors=True)
+    return _made[0]
+
+
+def checkpointed(df: DataFrame, size: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    size: about how many bytes the table has, if that is known; then it is written in parts of about PART_BYTES,
+    not in as many files as there are shuffle partitions.
+    """
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-ckpt-"))
-    return (df if rows is None else in_parts(df, rows, a_part)).checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return (df if size is None else in_parts(df, size)).checkpoint(eager=True)
 
 
-def in_parts(df: DataFrame, rows: int, a_part: int) -> DataFrame:
-    """df in as many partitions as so many rows need, if it has more."""
-    return df.coalesce(max(1, -(-rows // a_part)))
+def in_parts(df: DataFrame, size: int) -> DataFrame:
+    """df in as many partitions as so many bytes need, if it has more."""
+    return df.coalesce(max(1, -(-size // PART_BYTES)))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -2,20 +2,27 @@
 
 The first filter holds the listed hosts. All other hosts of the corpus that pass it by mistake are put
 into a second one, the listed hosts that pass that by mistake into a third, and so on until no mistake is
-left. The corpus's hosts are all that can be asked for, so the cascade answers exactly. Its filters are
-binary literals of a checked size in the plan; pages are judged where they lie, without a join.
+left. The corpus's hosts are all that can be asked for, so the cascade answers exactly. The first filter's
+rate of mistakes is the ratio of listed to other hosts: the second one then has about as many keys as the
+first, however many hosts the corpus has. All sizes are checked; pages are judged where they lie, without a join.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import BITS, MOST_BYTES, Filter, make_filter
+from .bloom import MOST_BYTES, Filter, make_filter
 from .common import ascii_lower, checkpointed, fresh
 
+#: Bits a key and hashes of the levels behind the first: about one mistake in 7.
+LATER_BITS = 4
+LATER_HASHES = 3
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -60,15 +67,22 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 def cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Filter] | None:
     """Filters for the listed keys among all keys of universe (each with a column key, without repeats).
 
-    None if one of them would take more than most_bytes: the later ones grow with the universe.
+    None if they would take more than most_bytes together. A first level of n keys among m others takes about
+    1.44 * log2(m / n) bits a key, all later ones about 10 more.
     """
     inside = checkpointed(universe.join(listed, "key", "left_semi"))
     outside = checkpointed(universe.join(listed, "key", "left_anti"))
     levels: list[Filter] = []
+    left, others = most_bytes, outside.count()
     while count := inside.count():
-        if count * BITS > most_bytes * 8:
+        bits, hashes = LATER_BITS, LATER_HASHES
+        if not levels and others > count:
+            doublings = math.log2(others / count)
+            bits, hashes = max(bits, math.ceil(1.44 * doublings)), max(hashes, round(doublings))
+        left -= math.ceil(count * bits / 64) * 8
+        if left < 0:
             return None
-        levels.append(make_filter(inside, count, len(levels)))
+        levels.append(make_filter(inside, count, len(levels), bits, hashes))
         wrong = checkpointed(outside.filter(levels[-1].has(F.col("key"))))
         inside, outside = wrong, inside
     return levels
@@ -88,14 +102,14 @@ def judged(
 
     The verdict is that of the longest rule that fits; without one it is block if the host is listed
     (column key of `listed`), else allow. A null url, or one without ://, has an empty host and path. Rows are
-    judged one by one; a null key in the list is nothing's host.
+    judged one by one; a null key in the list is nothing's host. Where the cascade would take more than
+    most_bytes, the hosts are joined with the list instead.
     """
     names = [fresh(pages.columns, c) for c in ("host", "path", "rule", "verdict", "listed")]
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     universe = checkpointed(pages.select(host.alias("key")).distinct())
     keys = listed.select("key").filter("key is not null").distinct()
-    levels = cascade(keys, universe, most_bytes) if keys.count() * BITS <= most_bytes * 8 else None
-    if levels is not None:
+    if (levels := cascade(keys, universe, most_bytes)) is not None:
         seen = pages.withColumn(names[4], listed_in(host, levels))
     else:
         key = fresh(pages.columns, "key")
