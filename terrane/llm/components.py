@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Bytes of an edge, where sizes of tables are reckoned.
+EDGE_BYTES = 32
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, size: int) -> DataFrame:
     """One step on edges (u > v).
 
     Large star: every node hands its larger neighbours to its smallest one. Small star: it hands its
-    smaller ones, and itself. The minimum is a plain aggregate, so a node with very many neighbours is
-    combined before the shuffle, and the join is one that AQE can split.
+    smaller ones, and itself. The minimum is a plain aggregate, so a node with very many neighbours is combined
+    before the shuffle. It becomes a table of its own: between two plain shuffles AQE can split the node's edges in the
+    join, with an aggregate behind one of them it can't.
     """
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), size)
         out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")), size)
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = out.union(least.select("u", F.col("m").alias("v")))
     return out.filter("u != v").distinct()
@@ -33,12 +37,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     of rounds logarithmic in the longest path. Each round is checkpointed, so a lost executor costs
     one round at most.
     """
-    count = edges.count()
-    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), count)
+    size = edges.count() * EDGE_BYTES
+    now = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), size)
     digest = (F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
     before = tuple(now.agg(*digest).first())
     while before[0]:
-        now = checkpointed(_star(_star(now, True), False), 2 * before[0])
+        size = 2 * before[0] * EDGE_BYTES
+        now = checkpointed(_star(_star(now, True, size), False, size), size)
         after = tuple(now.agg(*digest).first())
         if after == before:
             break

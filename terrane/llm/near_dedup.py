@@ -8,13 +8,15 @@
    not with all others. XOR population counts of the odd sketches estimate the similarity of a pair; pairs
    far below the threshold go. The rest is confirmed on full sets, read from the texts again, and linked
    classes are joined to components.
-4. All classes that met in buckets of one centre are its ball: any two classes of a bucket are in one. Where a
-   ball still spans several components, its members are compared in blocks, by their sketches first. Members
-   that look similar to one of another component are compared on full sets, block by block as a matrix
-   product, and only the links that join components leave the task, fewer than it has members.
-
-Nothing is capped: a ball of any size is split into blocks, and a centre with many partners is dealt to
-several tasks by the amount of text. Pairs are never written out within a block.
+4. All classes that met in buckets of one centre are its ball: any two classes of a bucket are in one. A ball that
+   still spans several components is looked through for links between them. A small one is compared within a
+   task, by sketches first and then on full sets as a matrix product; only links that join components leave it.
+5. Members of large balls, such as pages of one template, are joined on their rare shingles. With shingles in one
+   order from rare to common, two sets that are similar enough share one of the first few, and a smaller set's share
+   of them leaves out what a template has in common. Only members that share such a shingle are compared.
+
+Nothing is capped: a centre with many partners is dealt to several tasks by the amount of text, and the holders of a
+shingle that is rare nowhere are compared in blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom
 from .common import checkpointed, every, fresh, in_parts, slices
@@ -42,12 +45,13 @@ SKETCH_BITS = 256
 MARGIN = 0.3
 #: Shingles of partners that one task confirms against one centre.
 TASK_SHINGLES = 2_000_000
-#: Members of a ball, and their shingles, that one task compares with as many others.
+#: Members of a ball, or holders of a shingle, and their shingles, that one task compares.
 BLOCK = 500
 BLOCK_SHINGLES = 500_000
-#: Rows, and texts, in a part of a table that is not large.
-ROWS_A_PART = 100_000
-TEXTS = 5_000
+#: Counters of the shingles of large balls' members; shingles that share one count as equally rare.
+COUNTERS = 1 << 20
+#: Bytes of a row of few numbers, of a class with its bands and sketch, and of a word with its blank, where sizes of tables are reckoned.
+ROW_BYTES, CLASS_BYTES, WORD_BYTES = 64, 300, 8
 
 U64 = np.uint64
 _rng = np.random.RandomState(20240607)
@@ -181,15 +185,16 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return may.join(ids, "id", "left_semi")
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, rows: int) -> DataFrame:
-    """Of pairs (a, b, n): those whose full sets are similar. n is the size of b's set.
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Of pairs (a, b, n): those whose full sets are similar. n is the size of b's set, size a bound on the texts' bytes.
 
     The texts of a centre's partners are dealt to as many tasks as they need, the centre's own text to
     each of these.
     """
     parts = pairs.groupBy("a").agg((F.floor(F.sum(F.col("n") + 64) / TASK_SHINGLES) + 1).cast("int").alias("parts"))
+    parts = checkpointed(parts)  # a table of its own: AQE splits a join's hot keys only between plain shuffles
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = checkpointed(_only(texts, needed), rows, TEXTS)
+    texts = checkpointed(_only(texts, needed), size)
     others = (
         pairs.join(parts, "a")
         .withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -274,45 +279,95 @@ def _joining_links(percent: int):
     return links
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for whole in batches:
+        for begin, end in slices(whole, "text"):
+            for shingles in shingle_sets(whole.column("text").slice(begin, end - begin).cast(pa.binary()).to_pylist()):
+                np.add.at(counts, (shingles % U64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["counter", "n"])
+
+
+def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's rarest shingles have one that a similar set has among its own: with a set that is no smaller,
+    which shares 2 * percent / (100 + percent) of this one, and with any, which shares percent."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def _prefixes(counts, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin, end in slices(whole, "text"):
+                batch = whole.slice(begin, end - begin)
+                tokens, at, low = [], [], []
+                for i, s in enumerate(shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())):
+                    few, most = prefix_sizes(len(s), percent)
+                    rare = s[np.lexsort((s, counts.value[(s % U64(COUNTERS)).astype(np.int64)]))[:most]]
+                    tokens.append(rare.view(np.int64))
+                    at.append(np.full(len(rare), i))
+                    low.append(np.arange(len(rare)) < few)
+                at = np.concatenate(at)
+                columns = [batch.column(c).take(pa.array(at)) for c in ("id", "component", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *columns, pa.array(np.concatenate(low))], ["token", "id", "component", "n", "low"])
+
+    return run
+
+
+def _candidates(percent: int):
+    """Pairs of a shingle's holders that may be similar: of different components, near in size and sketch; the smaller
+    one holds it among the few that it shares with a larger set."""
+    most = most_differing(percent / 100)
+
+    def pairs(group: pa.Table) -> pa.Table:
+        col = {c: group.column(c).to_numpy() for c in ("id", "n", "component", *SKETCH)}
+        low = group.column("low").to_numpy(zero_copy_only=False)
+        sketch = np.stack([col[s] for s in SKETCH], axis=1).view(U64)
+        a, b = [], []
+        for i in np.flatnonzero(low).tolist():
+            n = col["n"][i]
+            near = np.flatnonzero((col["component"] != col["component"][i]) & (col["n"] >= n) & (n * 100 >= col["n"] * percent))
+            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= most]
+            a.append(np.minimum(col["id"][near], col["id"][i]))
+            b.append(np.maximum(col["id"][near], col["id"][i]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets.
     component_id is the smallest id reachable over links, itself included; kept says that it is the
-    row's own id. Defined results: null or wordless text has size 0 and no link; rows that share an id are
-    one document with the links of each of them; a row with a null id keeps a null component, has no
-    links and is kept; an empty table gives an empty one. Columns other than the two are not read.
+    row's own id. Ids are whole numbers; TypeError for others. Defined results: null or wordless text has size 0 and no
+    link; rows that share an id are one document with the links of each of them; a row with a null id keeps a null
+    component, has no links and is kept; an empty table gives an empty one. Columns other than the two are not read.
 
     A pair just at a similarity of 0.85 is missed by all bands with a probability below 1e-6, one just at 0.8
     (with a percent of 80) with about 7e-5, and far less above it.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col}: near duplicates need ids that are whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(texts.mapInArrow(_sign, SIGNED))
-    rows = signed.count()
+    rows, words = signed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size, many = words * WORD_BYTES, BANDS * rows * ROW_BYTES
     some = signed.filter("id is not null and n > 0")
     classes = some.groupBy("fp").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH)
     )
-    classes = checkpointed(classes, rows)
+    classes = checkpointed(classes, rows * CLASS_BYTES)
     slim = classes.select("id", "n", *SKETCH)
     known = texts.filter("id is not null and text is not null")
 
-    buckets = classes.select(F.explode("bands").alias("bucket"), "id")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = checkpointed(buckets.join(shared, "bucket"), BANDS * rows)
-    fame = members.groupBy("id").agg(F.sum("members").alias("fame"))
-    centres = (
-        members.join(fame, "id")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("fame", (-F.col("id")).alias("other"))).alias("c"))
-        .select("bucket", (-F.col("c.other")).alias("a"))
-    )
-    balls = checkpointed(members.join(centres, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct(), BANDS * rows)
+    balls = _balls(classes.select(F.explode("bands").alias("bucket"), "id"), many)
     own_class = classes.select("fp", F.col("id").alias("node"))
-    links = checkpointed(confirmed(known, _estimated(balls, slim, percent, rows), percent, rows))
+    links = checkpointed(confirmed(known, _estimated(balls, slim, percent, many), percent, size), many)
     links = links.union(_of_one_id(signed, own_class, rows))
     labels = components(links, "a", "b")
-    more = checkpointed(_across(known, balls, labels, slim, percent, rows))
+    more = checkpointed(_across(known, balls, labels, slim, percent, size, many), many)
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
 
@@ -324,7 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(labels, "node", "left")
         .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
     )
-    return in_parts(placed, rows, ROWS_A_PART).select(
+    return in_parts(placed, rows * ROW_BYTES).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "component_id",
@@ -332,75 +387,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _balls(buckets: DataFrame, size: int) -> DataFrame:
+    """(a, b): each class b of a bucket with the bucket's centre a, once.
+
+    What is known of a bucket is a table of its own before it is joined, so both sides are plain shuffles and AQE
+    can split a hot bucket.
+    """
+    shared = checkpointed(buckets.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), size)
+    members = checkpointed(buckets.join(shared, "bucket"), size)
+    fame = members.groupBy("id").agg(F.sum("members").alias("fame"))
+    centres = (
+        members.join(fame, "id")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("fame", (-F.col("id")).alias("other"))).alias("c"))
+        .select("bucket", (-F.col("c.other")).alias("a"))
+    )
+    return checkpointed(members.join(checkpointed(centres, size), "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct(), size)
+
+
 def _of_one_id(signed: DataFrame, own_class: DataFrame, rows: int) -> DataFrame:
     """Links (a, b) from an id to the nodes of its classes, for ids whose rows have different sets."""
     sets = signed.filter("id is not null").groupBy("id").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
-    several = checkpointed(sets.filter("least != most").select("id"), rows)
+    several = checkpointed(sets.filter("least != most").select("id"), rows * ROW_BYTES)
     own = signed.select("id", "fp").join(several, "id", "left_semi").join(own_class, "fp")
-    return checkpointed(own.filter("id != node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), rows)
+    return checkpointed(own.filter("id != node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), rows * ROW_BYTES)
 
 
-def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFrame, percent: int, rows: int) -> DataFrame:
+def _across(texts: DataFrame, balls: DataFrame, labels: DataFrame, slim: DataFrame, percent: int, size: int, many: int) -> DataFrame:
     """Links (a, b) between members of a ball that are in different components. The centre's own pairs are known."""
     inside = (
         balls.select(F.col("a").alias("centre"), F.col("b").alias("id"))
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
-        .join(slim, "id")
+        .join(slim.select("id", "n"), "id")
     )
+    inside = checkpointed(inside, many)
     mixed = (
         inside.groupBy("centre")
         .agg(
-            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"),
+            ((F.count("*") > BLOCK) | (F.sum("n") > BLOCK_SHINGLES)).alias("large"),
             F.min("component").alias("least"),
             F.max("component").alias("most"),
         )
         .filter("least != most")
-        .select("centre", "chunks")
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    blocks = (
-        inside.join(mixed, "centre")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "centre",
-            F.least("own", "other").alias("x"),
-            F.greatest("own", "other").alias("y"),
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            "id",
-            "n",
-            "component",
-            *SKETCH,
-        )
+        .select("centre", "large")
     )
-    alike = blocks.groupBy("centre", "x", "y").applyInArrow(
+    inside = inside.join(checkpointed(mixed, many), "centre")
+    small = inside.filter("not large").select("centre", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "id", "n", "component")
+    links = _linked_blocks(texts, small, slim, percent, size, many)
+    large = checkpointed(inside.filter("large").select("id", "component", "n").distinct(), many)
+    return links if large.isEmpty() else links.union(_by_rare_shingles(texts, large, slim, percent, size, many))
+
+
+def _linked_blocks(texts: DataFrame, blocks: DataFrame, slim: DataFrame, percent: int, size: int, many: int) -> DataFrame:
+    """Links that join components within blocks (centre, x, y, side, id, n, component); side 1 is compared with 2, 0 with all."""
+    alike = blocks.join(slim.drop("n"), "id").groupBy("centre", "x", "y").applyInArrow(
         _alike_members(percent), "centre long, x int, y int, id long, component long"
     )
-    alike = checkpointed(alike, BANDS * rows)
-    needed = checkpointed(_only(texts, alike.select("id").distinct()), rows, TEXTS)
+    alike = checkpointed(alike, many)
+    needed = checkpointed(_only(texts, alike.select("id").distinct()), size)
     whole = alike.join(needed, "id").groupBy("centre", "x", "y")
     return whole.applyInArrow(_joining_links(percent), "a long, b long")
 
 
-def _estimated(pairs: DataFrame, slim: DataFrame, percent: int, rows: int) -> DataFrame:
+def _by_rare_shingles(texts: DataFrame, members: DataFrame, slim: DataFrame, percent: int, size: int, many: int) -> DataFrame:
+    """Links between members (id, component, n) of different components: all of them between holders of a rare shingle, and as
+    many as join the components between holders of one that is not rare."""
+    texts = checkpointed(_only(texts, members.select("id")).join(members, "id"), size)
+    found = texts.select("text").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    run = _prefixes(texts.sparkSession.sparkContext.broadcast(counts), percent)
+    postings = checkpointed(texts.mapInArrow(run, "token long, id long, component long, n long, low boolean"))
+    holders = postings.groupBy("token").agg(
+        F.count("*").alias("holders"), F.min("component").alias("least"), F.max("component").alias("most"), F.bool_or("low").alias("any")
+    )
+    holders = checkpointed(holders.filter("least != most and any").select("token", "holders"), size)
+    asked = checkpointed(postings.join(holders, "token"), size)
+
+    few = asked.filter(F.col("holders") <= BLOCK).join(slim.drop("n"), "id")
+    pairs = few.groupBy("token").applyInArrow(_candidates(percent), "a long, b long").distinct()
+    pairs = checkpointed(pairs.join(slim.select(F.col("id").alias("b"), "n"), "b").select("a", "b", "n"), many)
+    links = confirmed(texts.select("id", "text"), pairs, percent, size)
+
+    crowd = asked.filter(F.col("holders") > BLOCK)
+    if crowd.isEmpty():
+        return links
+    chunks = F.ceil(F.col("holders") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    blocks = crowd.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
+        F.col("token").alias("centre"),
+        F.least("own", "other").alias("x"),
+        F.greatest("own", "other").alias("y"),
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+        "id",
+        "n",
+        "component",
+    )
+    return links.union(_linked_blocks(texts.select("id", "text"), blocks, slim, percent, size, many))
+
+
+def _estimated(pairs: DataFrame, slim: DataFrame, percent: int, many: int) -> DataFrame:
     whole = F.struct("n", *SKETCH)
     one = slim.select(F.col("id").alias("a"), whole.alias("x"))
     two = slim.select(F.col("id").alias("b"), whole.alias("y"))
     near = pairs.join(one, "a").join(two, "b").filter(_alike("x", "y", percent))
-    return checkpointed(near.select("a", "b", F.col("y.n").alias("n")), BANDS * rows)
+    return checkpointed(near.select("a", "b", F.col("y.n").alias("n")), many)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """docs with one document of each group left; the columns stay.
 
-    Rows with a null id all stay. Of rows that share an id, the one that comes first when its columns
-    are compared in order stays.
+    Rows with a null id all stay, and so do empty texts. Of rows that share an id, the one that comes first when its
+    columns are compared in order stays. An empty table stays empty.
     """
-    rows = docs.count()
     found = near_duplicates(docs, id_col, text_col, percent)
     kind = docs.schema[id_col].dataType
-    ids = checkpointed(found.select(F.col(id_col).cast(kind).alias("key"), "kept"), rows).filter("key is not null")
+    ids = checkpointed(found.select(F.col(id_col).cast(kind).alias("key"), "kept", "n_shingles"))
+    words = ids.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    ids = ids.filter("key is not null")
     gone = ids.filter("not kept").select("key").distinct()
     repeated = ids.filter("kept").groupBy("key").count().filter("count > 1").select("key")
     key, row = fresh(docs.columns, "key"), fresh(docs.columns, "row")
@@ -410,4 +515,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = F.struct(*every(docs.columns))
     once = left.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min(whole).alias(row)).select(f"{row}.*")
     out = once.unionByName(left.filter(F.col(id_col).isNull()))
-    return in_parts(out if rest is None else out.unionByName(rest), rows, TEXTS)
+    return in_parts(out if rest is None else out.unionByName(rest), words * WORD_BYTES)
