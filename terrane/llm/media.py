@@ -3,19 +3,22 @@
 A text's bytes are kept as 8-bit samples in a WAV file, in one of three telephony codings: mu-law, A-law or
 IMA ADPCM. Mu-law and A-law are expanded by tables of 256 entries, made from their rules. An ADPCM block
 depends on its own bytes only, so numpy decodes the same sample of all blocks of a batch in one step. The
-decoded 8 kHz samples are resampled to 16 kHz and stored as PCM.
+decoded samples are resampled, from any rate to any other, by a polyphase filter and stored as PCM. The filter works
+on whole numbers, so the same samples come out everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
+from functools import lru_cache
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +27,10 @@ from .common import fresh, plainly_named, slices
 UNIT = 576
 PAD = 255
 RATE = 8_000
+PCM_RATE = 16_000
+#: Zero crossings of the resampling filter on each side, and what its taps add up to.
+CROSSINGS = 8
+UNITY = 1 << 14
 #: Bytes of an ADPCM block: 4 of header, which give one sample, then two samples a byte.
 BLOCK = 36
 BLOCK_SAMPLES = 2 * (BLOCK - 4) + 1
@@ -78,10 +85,6 @@ def wav(data: bytes, coding: int, rate: int = RATE) -> bytes:
     return struct.pack("<4sI4s", b"RIFF", 4 + len(chunks), b"WAVE") + chunks
 
 
-#: Bytes of a PCM file before its samples.
-PCM_HEAD = len(wav(b"", PCM))
-
-
 def read_wav(media: bytes) -> tuple[int, int, bytes]:
     """(coding, rate, coded samples) of a mono file. Raises ValueError for anything else."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
@@ -90,6 +93,8 @@ def read_wav(media: bytes) -> tuple[int, int, bytes]:
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
         if name == b"fmt ":
+            if at + 8 + max(size, 16) > len(media):
+                raise ValueError("a WAV file that is cut short")
             coding, channels, rate = struct.unpack_from("<HHI", media, at + 8)
             if channels != 1 or coding not in CODINGS or coding == ADPCM and struct.unpack_from("<H", media, at + 20)[0] != BLOCK:
                 raise ValueError(f"a WAV file of {channels} channels in coding {coding}")
@@ -133,13 +138,39 @@ def decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
     return out
 
 
-def doubled(samples: np.ndarray) -> np.ndarray:
-    """Twice the rate: between any two samples their mean, rounded down; the last one twice."""
-    out = np.empty(2 * len(samples), np.int16)
-    out[::2] = samples
-    following = np.concatenate([samples[1:], samples[-1:]])
-    out[1::2] = (samples.astype(np.int32) + following) >> 1
-    return out
+@lru_cache(maxsize=64)
+def filter_taps(up: int, down: int) -> np.ndarray:
+    """Taps of a low-pass filter, a row for each of `up` places between two samples: row f, column j is the weight of the
+    sample j - half + 1 places on. A sinc under a Hann window that passes what both rates can hold; rows add up to UNITY."""
+    cut = min(1.0, up / down)
+    half = math.ceil(CROSSINGS / cut)
+    away = np.arange(up)[:, None] / up - np.arange(1 - half, half + 1)
+    weight = cut * np.sinc(cut * away) * np.cos(np.pi * np.clip(away / half, -1, 1) / 2) ** 2
+    taps = np.rint(weight / weight.sum(axis=1, keepdims=True) * UNITY).astype(np.int32)
+    taps[np.arange(up), np.abs(taps).argmax(axis=1)] += UNITY - taps.sum(axis=1)
+    return taps
+
+
+def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """Samples of 16 bits at another rate, target / rate times as many, rounded up. Beyond both ends there is silence."""
+    if rate == target or not len(samples):
+        return samples
+    common = math.gcd(rate, target)
+    up, down = target // common, rate // common
+    taps = filter_taps(up, down)
+    half = taps.shape[1] // 2
+    count = -(-len(samples) * up // down)
+    last = (count - 1) * down // up
+    x = np.concatenate([np.zeros(half - 1, np.int32), samples.astype(np.int32), np.zeros(half + 1 + max(0, last - len(samples)), np.int32)])
+    out = np.empty(count, np.int32)
+    for f in range(up):
+        n = f * pow(down, -1, up) % up if up > 1 else 0  # the first output sample at this place between two
+        places = len(range(n, count, up))
+        begin, total = n * down // up, np.full(places, UNITY // 2, np.int32)
+        for j in np.flatnonzero(taps[f]).tolist() if places else ():
+            total += x[begin + j : begin + j + (places - 1) * down + 1 : down] * taps[f, j]
+        out[n::up] = total // UNITY
+    return np.clip(out, -32768, 32767).astype(np.int16)
 
 
 def _stored(batches: Iterator[pa.RecordBatch], text: str, coding: str, media: str) -> Iterator[pa.RecordBatch]:
@@ -176,7 +207,7 @@ FEATURES = (
 )
 
 
-def _features(media: list[bytes | None], pcm: bool) -> Iterator[dict | None]:
+def _features(media: list[bytes | None], pcm: bool, target: int) -> Iterator[dict | None]:
     read = [read_wav(m) if m is not None else None for m in media]
     samples = iter(decode([(r[0], r[2]) for r in read if r]))
     for m, r in zip(media, read, strict=True):
@@ -185,11 +216,11 @@ def _features(media: list[bytes | None], pcm: bool) -> Iterator[dict | None]:
             continue
         coding, rate, data = r
         x = next(samples)
-        twice = doubled(x) if len(x) else x
         wide = x.astype(np.float64)
         root = float(np.sqrt(np.mean(wide * wide))) if len(x) else 0.0
         peak = int(np.abs(x.astype(np.int32)).max(initial=0))
         crossings = int(np.count_nonzero(np.diff(x < 0)))
+        stored = resampled(x, rate, target).astype("<i2").tobytes()
         yield {
             "n_samples": len(x),
             "payload_bytes": len(data),
@@ -197,9 +228,8 @@ def _features(media: list[bytes | None], pcm: bool) -> Iterator[dict | None]:
             "tail_crc32": zlib.crc32(data[-32:]),
             "media_bytes": len(m),
             "media_sha256": hashlib.sha256(m).hexdigest(),
-            "feature": f"{CODINGS[coding]} ms={1000 * len(x) // rate} rms={root:.2f} peak={peak} crossings={crossings} "
-            f"pcm{2 * rate // 1000}k={zlib.crc32(twice.tobytes()):08x}",
-            "pcm": wav(twice.astype("<i2").tobytes(), PCM, 2 * rate) if pcm else None,
+            "feature": f"{CODINGS[coding]} ms={1000 * len(x) // rate} rms={root:.2f} peak={peak} crossings={crossings} pcm{target}={zlib.crc32(stored):08x}",
+            "pcm": wav(stored, PCM, target) if pcm else None,
         }
 
 
@@ -217,44 +247,41 @@ _ARROW = pa.struct(
 )
 
 
-def _read(batches: Iterator[pa.RecordBatch], media: str, out: str, pcm: bool) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], media: str, out: str, pcm: bool, rate: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for begin, end in slices(whole, media, AT_ONCE):
             batch = whole.slice(begin, end - begin)
-            made = list(_features(batch.column(media).to_pylist(), pcm))
+            made = list(_features(batch.column(media).to_pylist(), pcm, rate))
             columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != media]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(made, _ARROW)], [*(n for n in batch.schema.names if n != media), out]
             )
 
 
-def decoded(docs: DataFrame, media_col: str = "media", out: str = "audio", pcm: bool = True) -> DataFrame:
+def decoded(docs: DataFrame, media_col: str = "media", out: str = "audio", pcm: bool = True, rate: int = PCM_RATE) -> DataFrame:
     """docs with the WAV column replaced by a struct of FEATURES, read from the stored bytes; null stays null.
 
-    feature has the coding, duration, loudness, peak, sign changes, and the checksum of the samples at twice the
-    rate, which pcm holds as a WAV file (unless pcm is False). A file that can't be read raises ValueError.
+    feature has the coding, duration, loudness, peak, sign changes, and the checksum of the samples at the given
+    rate, which pcm holds as a WAV file (unless pcm is False). A file that can't be read raises ValueError. Rows are
+    read one by one, repeated ones too; an empty table stays empty.
     """
     kept = [c for c in docs.columns if c != media_col]
     plain, names = plainly_named(docs)
     media = names[media_col]
     schema = T.StructType([*(plain.schema[names[c]] for c in kept), T.StructField("audio", T.StructType.fromDDL(FEATURES))])
-    return plain.mapInArrow(lambda b: _read(b, media, "audio", pcm), schema).toDF(*kept, fresh(kept, out))
+    return plain.mapInArrow(lambda b: _read(b, media, "audio", pcm, rate), schema).toDF(*kept, fresh(kept, out))
 
 
-def stored_feature(audio: Column) -> Column:
-    """The feature of a struct of FEATURES, with the checksum of the samples that its pcm holds as stored."""
-    pcm, feature = audio["pcm"], audio["feature"]
-    samples = F.substring(pcm, F.lit(PCM_HEAD + 1), F.octet_length(pcm))
-    checksum = F.lpad(F.lower(F.hex(F.crc32(samples))), 8, "0")
-    return F.concat(F.substring(feature, F.lit(1), F.length(feature) - 8), checksum)
+def audio_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = PCM_RATE) -> DataFrame:
+    """(id, n_bytes, payload and media sizes and digests, feature, pcm_bytes, pcm_sha256) for each row of docs.
 
-
-def audio_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, payload and media sizes and digests, feature) for each row of docs. The resampled PCM is built as a column too."""
+    The resampled PCM is stored in a column as a file, and the last two are the size and digest of that column. Null
+    text counts as empty.
+    """
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("t"))
     stored = with_audio(slim, "t", "media").drop("t")
-    read = decoded(stored, "media", "audio")
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
-    feature = stored_feature(F.col("audio")).alias("feature")
-    return read.select(F.col("id").alias(id_col), "n_bytes", *(F.col(f"audio.{n}").alias(n) for n in names), feature)
+    read = decoded(stored, "media", "audio", True, rate)
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    pcm = F.octet_length("audio.pcm").cast("long").alias("pcm_bytes"), F.sha2("audio.pcm", 256).alias("pcm_sha256")
+    return read.select(F.col("id").alias(id_col), "n_bytes", *(F.col(f"audio.{n}").alias(n) for n in names), *pcm)
