@@ -15,7 +15,8 @@ Where a text has a control string, or one with backslashes behind its first char
 goes there. So no text can end a turn, and taking one away gives the text back.
 
 An example repeats its context, so a conversation's output grows with the square of its turns. That is the
-method; a conversation is one row while it is formatted.
+method. A conversation is one row while its turns are put in order; the examples of a long one are then dealt to as
+many tasks as their characters need. A conversation whose square can be written at all is no large row.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of the examples of one conversation that one task writes.
+BLOCK_CHARS = 20_000_000
 _BODY = r"(/?(?:s>|INST\]|SYS\]|ROLE\]|TURN\]))"
 _TURN = r"(?s)\[INST\].*?\[/INST\]|\[SYS\].*?\[/SYS\]|<s>.*?</s>|\[ROLE\].*?\[/TURN\]"
 MARKS = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("<s>", "</s>")}
@@ -58,19 +61,25 @@ def examples(
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    whole = turns.groupBy(F.col(conv_col).alias("conv")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    chars = F.sum(F.length(row["role"]) + F.length(row["text"]) + 32).cast("double")
+    whole = turns.groupBy(F.col(conv_col).alias("conv")).agg(
+        F.sort_array(F.collect_list(row)).alias("turns"), F.ceil(chars * F.count("*") / BLOCK_CHARS).cast("int").alias("blocks")
+    )
+    short = whole.filter("blocks <= 1").withColumn("block", F.lit(0))
+    long = whole.filter("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a given number of partitions: AQE would join them by what they read, and they write far more
+    whole = short.union(long.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "block"))
     written = whole.select(
         "conv",
+        F.greatest("blocks", F.lit(1)).alias("blocks"),
+        "block",
         F.transform("turns", lambda t: _written(t["role"], t["text"])).alias("written"),
         F.transform("turns", lambda t: t["role"] == "assistant").alias("replies"),
     )
     last = F.size("written")
-    each = written.select(
-        "conv",
-        "written",
-        "replies",
-        F.explode(F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | F.element_at("replies", i))).alias("position"),
-    )
+    positions = F.filter(F.sequence(F.lit(1), last), lambda i: (i == last) | F.element_at("replies", i))
+    positions = F.filter(positions, lambda _, nth: nth % F.col("blocks") == F.col("block"))
+    each = written.select("conv", "written", "replies", F.explode(positions).alias("position"))
     begin, end = MARKS["assistant"]
     texts = each.select(
         "conv",

@@ -7,6 +7,7 @@ goes down all trees at once, one numpy step a level.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from .common import fresh, plainly_named, slices
 
 #: Bound on the labelled documents that trees are grown from: the first ones by a hash of doc_id.
 TRAIN_ROWS = 20_000
+HASHES = 1 << 32
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -188,18 +190,21 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Grow trees from at most `rows` labelled documents that are not held out.
 
-    Several labels of one id count as their mean, from 0.5 up as 1; null labels and ids teach nothing. Of rows
-    that share an id, the one with the least statistics teaches. The result is the same at every run.
+    Several labels of one id count as their mean, from 0.5 up as 1; null labels and ids teach nothing. Ids of any type
+    are compared as text. Of rows that share an id, the one with the least statistics teaches. The result is the same at
+    every run. Without labels or documents there are no trees, and all scores are 0.5.
     """
-    chosen = (
+    usable = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-        .groupBy(F.col(id_col).cast("long").alias("id"))
+        .groupBy(F.col(id_col).cast("string").alias("id"))
         .agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(rows)
+        .withColumn("nth", F.pmod(F.xxhash64("id"), F.lit(HASHES)))
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    taught = texts.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(_measured, "id long, x array<double>")
+    # the first rows by hash: a threshold that leaves some more of them keeps the sort small
+    share = (rows + 10 * rows**0.5 + 50) / max(1, usable.count())
+    chosen = usable.filter(F.col("nth") < min(HASHES, math.ceil(share * HASHES))).orderBy("nth", "id").limit(rows).select("id", "y")
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    taught = texts.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(_measured, "id string, x array<double>")
     found = taught.groupBy("id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "id").toArrow().sort_by("id")
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return grow(x, found.column("y").to_numpy())
@@ -226,7 +231,10 @@ def with_score(docs: DataFrame, trees: Trees, text_col: str, out: str) -> DataFr
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of docs, learned from labels.quality."""
+    """(id, held_out, score, predicted) for each row of docs, learned from labels.quality.
+
+    Null text is scored as empty. Rows are scored one by one, those with a null or repeated id too; an empty table gives an empty one.
+    """
     trees = fit(docs, labels, id_col, text_col)
     texts = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     out = with_score(texts, trees, text_col, fresh([id_col, text_col], "score_"))
@@ -237,6 +245,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those scored below the threshold."""
+    """docs without those scored below the threshold; the columns stay.
+
+    Null text is scored as empty; repeated rows are judged one by one; an empty table stays empty.
+    """
     out = fresh(docs.columns, "score")
     return with_score(docs, fit(docs, labels, id_col, text_col), text_col, out).filter(F.col(out) >= threshold).drop(out)
