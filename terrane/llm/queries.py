@@ -22,9 +22,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
-    )
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,17 +90,22 @@ def _lower(c: str) -> str:
 
 _OP2 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
-b AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
-bw AS (SELECT item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i, w FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS n FROM bw),
+b AS (SELECT row_number() OVER () AS b, * FROM (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark)),
+bw AS (SELECT b, item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i, w FROM b WHERE len(w) > 0),
+win AS (SELECT b, item, i AS ip, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS n FROM bw),
 widths AS (SELECT DISTINCT n FROM win),
 dp AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, widths WHERE len(w) >= n),
-hits AS (SELECT dp.doc_id, dp.i, dp.n, win.item FROM dp JOIN win ON win.n = dp.n AND win.win = array_to_string(dp.w[dp.i:dp.i + dp.n - 1], ' ')),
+hits AS (SELECT dp.doc_id, dp.i, dp.n, win.item, b, ip FROM dp JOIN win ON win.n = dp.n AND win.win = array_to_string(dp.w[dp.i:dp.i + dp.n - 1], ' ')),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+runs AS (SELECT doc_id, min(i) AS i, item, min(ip) AS ip, count(*) + n - 1 AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, b, n, i - ip ORDER BY i) AS run FROM hits) GROUP BY doc_id, b, item, n, i - ip, run),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, i, item, ip) = 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest.length, 0) AS longest_match, longest.i - 1 AS longest_start, longest.item AS longest_item, longest.ip - 1 AS longest_item_start
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 _OP3 = rf"""
