@@ -24,8 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, fresh
+
 #: Characters of the examples of one conversation that one task writes.
 BLOCK_CHARS = 20_000_000
+#: Long conversations of which the ids are broadcast; more are joined.
+MOST_LONG = 100_000
 _BODY = r"(/?(?:s>|INST\]|SYS\]|ROLE\]|TURN\]))"
 _TURN = r"(?s)\[INST\].*?\[/INST\]|\[SYS\].*?\[/SYS\]|<s>.*?</s>|\[ROLE\].*?\[/TURN\]"
 MARKS = {"user": ("[INST]", "[/INST]"), "system": ("[SYS]", "[/SYS]"), "assistant": ("<s>", "</s>")}
@@ -62,16 +66,25 @@ def examples(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     chars = F.sum(F.length(row["role"]) + F.length(row["text"]) + 32).cast("double")
-    whole = turns.groupBy(F.col(conv_col).alias("conv")).agg(
-        F.sort_array(F.collect_list(row)).alias("turns"), F.ceil(chars * F.count("*") / BLOCK_CHARS).cast("int").alias("blocks")
-    )
-    short = whole.filter("blocks <= 1").withColumn("block", F.lit(0))
-    long = whole.filter("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # a given number of partitions: AQE would join them by what they read, and they write far more
-    whole = short.union(long.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "block"))
+    blocks = F.greatest(F.lit(1), F.ceil(chars * F.count("*") / BLOCK_CHARS).cast("int")).alias("blocks")
+    by_conv = turns.groupBy(F.col(conv_col).alias("conv"))
+    in_order = F.sort_array(F.collect_list(row)).alias("turns")
+    many = checkpointed(by_conv.agg(blocks).filter("blocks > 1").select(F.col("conv").alias(fresh(turns.columns, "long_conv")), "blocks"))
+    if not (count := many.count()):
+        whole = by_conv.agg(in_order).select("conv", "turns", F.lit(1).alias("blocks"), F.lit(0).alias("block"))
+    else:
+        many = F.broadcast(many) if count <= MOST_LONG else many
+        same = F.col(conv_col).eqNullSafe(F.col(many.columns[0]))
+        short = turns.join(many, same, "left_anti").groupBy(F.col(conv_col).alias("conv")).agg(in_order)
+        long = turns.join(many, same, "left_semi").groupBy(F.col(conv_col).alias("conv")).agg(in_order)
+        long = long.join(many, F.col("conv").eqNullSafe(F.col(many.columns[0]))).select("conv", "turns", "blocks")
+        long = long.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # a given number of partitions: AQE would join them by what they read, and they write far more
+        long = long.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "block")
+        whole = short.select("conv", "turns", F.lit(1).alias("blocks"), F.lit(0).alias("block")).union(long)
     written = whole.select(
         "conv",
-        F.greatest("blocks", F.lit(1)).alias("blocks"),
+        "blocks",
         "block",
         F.transform("turns", lambda t: _written(t["role"], t["text"])).alias("written"),
         F.transform("turns", lambda t: t["role"] == "assistant").alias("replies"),
