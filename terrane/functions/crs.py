@@ -1,7 +1,8 @@
 """Coordinate reference systems: a registry, and projections that run on floats, numpy or Columns alike.
 
-There is no EPSG database here, so the families are: geographic 84, 4326 and 4258; UTM zones on ETRS89
-(3046-3048 and 3067); the Finnish GK zones 3873-3885; Web Mercator 3857. ETRS89 and WGS 84 are taken as one.
+There is no EPSG database here. Known are geographic 84, 4326 and 4258; UTM zones on WGS 84 (32601-32660,
+32701-32760) and ETRS89 (25828-25838, 3046-3048, 3067); the Finnish GK zones 3873-3885; Web Mercator 3857. Any other
+transverse Mercator or geographic system can be registered by its proj4 text. ETRS89 and WGS 84 are taken as one.
 Transverse Mercator uses the Krueger series to the fourth order of the third flattening, with an own series
 back from conformal latitude, so that both directions are closed expressions without a loop over rows.
 """
@@ -62,6 +63,7 @@ class Zone:
     meridian: float
     scale: float
     easting: float
+    northing: float = 0
 
 
 ZONES = {
@@ -70,8 +72,11 @@ ZONES = {
     3048: Zone(33, 0.9996, 500_000),
     3067: Zone(27, 0.9996, 500_000),
     **{3873 + i: Zone(19 + i, 1.0, (19 + i) * 1_000_000 + 500_000) for i in range(13)},
+    **{25800 + i: Zone(6 * i - 183, 0.9996, 500_000) for i in range(28, 39)},
+    **{32600 + i: Zone(6 * i - 183, 0.9996, 500_000) for i in range(1, 61)},
+    **{32700 + i: Zone(6 * i - 183, 0.9996, 500_000, 10_000_000) for i in range(1, 61)},
 }
-GEOGRAPHIC = (84, 4326, 4258)
+GEOGRAPHIC = {84, 4326, 4258}
 SRIDS: dict[int, Srid] = {
     84: Srid(84, degrees=True, wrap=(-180.0, 180.0)),
     4326: Srid(4326, lat_lon=True, degrees=True, wrap=(-180.0, 180.0)),
@@ -81,6 +86,25 @@ SRIDS: dict[int, Srid] = {
 }
 
 
+def register(code: int, proj4: str, lat_lon: bool = False, degrees: bool | None = None, wrap: tuple[float, float] | None = None) -> Srid:
+    """Make a system known by its proj4 text: longlat, utm or tmerc, on GRS 80 or WGS 84. ValueError for others."""
+    said = dict((*x.split("=", 1), "")[:2] for x in proj4.replace("+", " ").split())
+    kind = said.get("proj")
+    if said.get("ellps", said.get("datum", "WGS84")) not in ("WGS84", "GRS80") or kind not in ("longlat", "utm", "tmerc"):
+        raise ValueError(f"srid {code}: not longlat, utm or tmerc on GRS 80 or WGS 84: {proj4!r}")
+    if any(float(v) for v in said.get("towgs84", "0").split(",")) or said.get("units", "m") != "m" or float(said.get("lat_0", 0)):
+        raise ValueError(f"srid {code}: shifts, units other than m and lat_0 are not supported")
+    if kind == "longlat":
+        GEOGRAPHIC.add(code)
+    elif kind == "utm":
+        ZONES[code] = Zone(6 * int(said["zone"]) - 183, 0.9996, 500_000, 10_000_000 if "south" in said else 0)
+    else:
+        number = lambda k, default: float(said.get(k, default))
+        ZONES[code] = Zone(number("lon_0", 0), number("k", said.get("k_0", 1)), number("x_0", 0), number("y_0", 0))
+    SRIDS[code] = Srid(code, lat_lon, kind == "longlat" if degrees is None else degrees, wrap)
+    return SRIDS[code]
+
+
 def to_uri(code: int) -> str:
     return "http://www.opengis.net/def/crs/OGC/1.3/CRS84" if code == 84 else f"http://www.opengis.net/def/crs/EPSG/0/{code}"
 
@@ -106,11 +130,11 @@ def _to_zone(lon, lat, zone: Zone, m):
     for j, c in enumerate(_TO_PLANE, 1):
         north = north + c * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
         east = east + c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
-    return east * (zone.scale * _RADIUS) + zone.easting, north * (zone.scale * _RADIUS)
+    return east * (zone.scale * _RADIUS) + zone.easting, north * (zone.scale * _RADIUS) + zone.northing
 
 
 def _from_zone(x, y, zone: Zone, m):
-    north, east = y / (zone.scale * _RADIUS), (x - zone.easting) / (zone.scale * _RADIUS)
+    north, east = (y - zone.northing) / (zone.scale * _RADIUS), (x - zone.easting) / (zone.scale * _RADIUS)
     xi, eta = north, east
     for j, c in enumerate(_FROM_PLANE, 1):
         xi = xi - c * m.sin(2 * j * north) * m.cosh(2 * j * east)

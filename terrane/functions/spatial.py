@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,22 +106,58 @@ def wkb_predicate(op: str, wkb: Column, g: Geometry) -> Column:
     if g.united and op not in ("INTERSECTS", "DISJOINT"):
         raise ValueError(f"{op} with the buffer of a line or polygon is not supported")
     single = parts(g) if g.united else [g]
+    e = g.envelope
 
     @pandas_udf("boolean")
     def found(blobs: pd.Series) -> pd.Series:
+        low_x, low_y, high_x, high_y, _ = wkb_envelopes(blobs)
+        near = (low_x <= e[2]) & (high_x >= e[0]) & (low_y <= e[3]) & (high_y >= e[1]) if e else np.ones(len(blobs), bool)
         out = []
-        for b in blobs:
+        for b, meets_box in zip(blobs, near.tolist(), strict=True):
             if b is None:
                 out.append(None)
-                continue
-            mine = read_wkb(bytes(b))
-            meets = [holds(op, mine, p) for p in single]
-            out.append(all(meets) if op == "DISJOINT" else any(meets))
+            elif not meets_box and e:  # only these are read and compared
+                out.append(op == "DISJOINT")
+            else:
+                mine = read_wkb(bytes(b))
+                meets = [holds(op, mine, p) for p in single]
+                out.append(all(meets) if op == "DISJOINT" else any(meets))
         return pd.Series(out, dtype="object")
 
     return found(wkb)
 
 
+#: Where the positions of a point, a line and a polygon of one ring begin in little-endian WKB, and where their number stands.
+_PLAIN_WKB = {1: (5, None), 2: (9, 5), 3: (13, 9)}
+
+
+def wkb_envelopes(blobs: pd.Series) -> tuple[np.ndarray, ...]:
+    """(minx, miny, maxx, maxy, empty) of WKB or GeoPackage blobs; NaN bounds for null and empty ones.
+
+    Points, lines and polygons of one ring with two ordinates are read in bulk, those of one size at a time; others one by one.
+    """
+    bounds, empty = np.full((4, len(blobs)), np.nan), np.zeros(len(blobs), object)
+    sizes: dict[tuple[int, int], list[int]] = {}
+    for i, b in enumerate(blobs):
+        if b is None:
+            empty[i] = None
+            continue
+        begin, at = _PLAIN_WKB.get(b[1], (0, None)) if len(b) > 20 and b[0] == 1 and b[2:5] == b"\0\0\0" else (0, None)
+        plain = begin and (b[1] < 3 or b[5:9] == b"\1\0\0\0")
+        if plain and len(b) == begin + 16 * (int.from_bytes(b[at : at + 4], "little") if at else 1):
+            sizes.setdefault((begin, len(b)), []).append(i)
+            continue
+        e = read_wkb(bytes(b)).envelope
+        empty[i] = e is None
+        bounds[:, i] = e or np.nan
+    for (begin, size), rows in sizes.items():
+        whole = np.frombuffer(b"".join(blobs.iloc[i] for i in rows), np.uint8).reshape(len(rows), size)
+        xy = np.ascontiguousarray(whole[:, begin:]).view("<f8").reshape(len(rows), -1, 2)
+        bounds[:2, rows], bounds[2:, rows] = xy.min(axis=1).T, xy.max(axis=1).T
+        empty[rows] = np.isnan(bounds[0, rows])
+    return (*bounds, empty)
+
+
 _ENVELOPE = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("minx", "miny", "maxx", "maxy")), T.StructField("empty", T.BooleanType())])
 
 
@@ -129,11 +166,8 @@ def envelope(c: Column) -> Column:
 
     @pandas_udf(_ENVELOPE)
     def bounds(blobs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in blobs:
-            e = read_wkb(bytes(b)).envelope if b is not None else None
-            rows.append((*(e or (None,) * 4), None if b is None else e is None))
-        return pd.DataFrame(rows, columns=_ENVELOPE.names)
+        found = pd.DataFrame(dict(zip(_ENVELOPE.names, wkb_envelopes(blobs), strict=True)))
+        return found.astype({n: "Float64" for n in _ENVELOPE.names[:4]})
 
     return bounds(c)
 
@@ -188,11 +222,14 @@ def project_columns(x: Column, y: Column, source: int, target: int) -> tuple[Col
 def reproject_wkb(wkb: Column, source: int, target: int) -> Column:
     if crs.is_identity(source, target):
         return wkb
+    zones, geographic = dict(crs.ZONES), set(crs.GEOGRAPHIC)  # with those that a configuration has registered
 
     @pandas_udf("binary")
     def moved(blobs: pd.Series) -> pd.Series:
         from .geometry import write_wkb
 
+        crs.ZONES.update(zones)
+        crs.GEOGRAPHIC.update(geographic)
         return pd.Series([None if b is None else write_wkb(crs.reproject(read_wkb(bytes(b), source), target)) for b in blobs], dtype="object")
 
     return moved(wkb)

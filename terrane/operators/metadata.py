@@ -88,23 +88,61 @@ def functions(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return _frame(spark, rows, "name string, description string, returns string, arguments array<string>")
 
 
+#: Types of the parameters that are no plain text.
+_PARAMETERS = {
+    "limit": {"type": "integer", "minimum": 1},
+    "offset": {"type": "integer", "minimum": 0},
+    "bbox": {"type": "array", "items": {"type": "number"}, "minItems": 4, "maxItems": 6},
+    "bbox-crs": {"type": "string", "format": "uri"},
+    "filter-crs": {"type": "string", "format": "uri"},
+    "crs": {"type": "string", "format": "uri"},
+    "filter-lang": {"type": "string", "enum": ["cql2-text"]},
+    "properties": {"type": "array", "items": {"type": "string"}},
+}
+
+
+def _parameter(collection: Collection, name: str, catalog: Catalog) -> dict:
+    given = dict(_PARAMETERS.get(name, {"type": "string"})) if name not in collection.params else {"type": "string"}
+    if name == "limit":
+        given |= {"maximum": catalog.limit_max, "default": catalog.limit_default}
+    if name in ("bbox-crs", "filter-crs", "crs"):
+        given |= {"enum": [crs.to_uri(s) for s in collection.srids], "default": crs.to_uri(84)}
+    if name == "properties":
+        given["items"] = {"type": "string", "enum": [p.name for p in collection.properties if not p.hidden]}
+    listed = {"style": "form", "explode": False} if given.get("type") == "array" else {}
+    return {"name": name, "in": "query", "required": False, "schema": given} | listed
+
+
+def feature_schema(collection: Collection) -> dict:
+    """The JSON schema of a feature, with that of its properties."""
+    id_type = {"type": _JSON_TYPES.get(collection.id.public_kind, "string")}
+    own = {k: v for k, v in json_schema(collection).items() if k != "$schema"}
+    shape = {"nullable": True, "type": "object"} if collection.geometry else {"nullable": True, "enum": [None]}
+    return {"type": "object", "required": ["type", "geometry", "properties"], "properties": {"type": {"type": "string", "enum": ["Feature"]}, "id": id_type, "geometry": shape, "properties": own}}
+
+
 def openapi(catalog: Catalog) -> dict:
-    """An OpenAPI 3.0 document of the paths that requests have."""
+    """An OpenAPI 3.0 document: the paths that requests have, their parameters' types and the features' schemas."""
     names = ("f", "limit", "offset", "next", "bbox", "bbox-crs", "datetime", "crs", "properties", "filter", "filter-lang", "filter-crs")
-    paths = {p: {"get": {"responses": {"200": {"description": "OK"}}}} for p in ("/", "/conformance", "/collections", "/functions", "/items")}
+    plain = {"get": {"responses": {"200": {"description": "OK"}}}}
+    paths = dict.fromkeys(("/", "/conformance", "/collections", "/functions", "/items"), plain)
+    schemas = {}
+
+    def features(schema: dict) -> dict:
+        return {"200": {"description": "OK", "content": {"application/geo+json": {"schema": schema}}}}
+
     for c in catalog.collections.values():
-        given = [{"name": n, "in": "query", "required": False, "schema": {"type": "string"}} for n in (*names, *c.params)]
-        base = f"/collections/{c.name}"
+        given = [_parameter(c, n, catalog) for n in (*names, *c.params)]
+        base, feature = f"/collections/{c.name}", {"$ref": f"#/components/schemas/{c.name}"}
+        schemas[c.name] = feature_schema(c)
         for tail in ("", "/schema", "/queryables"):
-            paths[base + tail] = {"get": {"responses": {"200": {"description": "OK"}}}}
-        paths[f"{base}/items"] = {"get": {"parameters": given, "responses": {"200": {"description": "OK"}}}}
-        paths[f"{base}/items/{{featureId}}"] = {
-            "get": {
-                "parameters": [{"name": "featureId", "in": "path", "required": True, "schema": {"type": "string"}}],
-                "responses": {"200": {"description": "OK"}, "404": {"description": "Not found"}},
-            }
-        }
-    return {"openapi": "3.0.3", "info": {"title": catalog.title, "version": catalog.version, "description": catalog.description}, "paths": paths}
+            paths[base + tail] = plain
+        collected = {"type": "object", "properties": {"type": {"type": "string", "enum": ["FeatureCollection"]}, "features": {"type": "array", "items": feature}}}
+        paths[f"{base}/items"] = {"get": {"parameters": given, "responses": features(collected)}}
+        one = {"name": "featureId", "in": "path", "required": True, "schema": schemas[c.name]["properties"]["id"]}
+        paths[f"{base}/items/{{featureId}}"] = {"get": {"parameters": [one], "responses": features(feature) | {"404": {"description": "Not found"}}}}
+    info = {"title": catalog.title, "version": catalog.version, "description": catalog.description}
+    return {"openapi": "3.0.3", "info": info, "paths": paths, "components": {"schemas": schemas}}
 
 
 def telemetry_line(collection: str, returned: int, **more) -> str:

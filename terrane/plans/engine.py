@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import OrderedDict
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from . import filters as fl
 from .catalog import Catalog, Collection
 from .properties import Property
 
-KNOWN = ("f", "collections", "limit", "offset", "next", "bbox", "bbox-crs", "datetime", "crs", "properties", "filter", "filter-lang", "filter-crs", "sortby")
+KNOWN = ("f", "collections", "limit", "offset", "next", "bbox", "bbox-crs", "datetime", "crs", "properties", "filter", "filter-lang", "filter-crs", "sortby", "layernames")
 
 
 @dataclass
@@ -60,9 +61,9 @@ class MultiPage:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog, cache_size: int = 0, cache_seconds: float = 120):
+    def __init__(self, spark: SparkSession, catalog: Catalog, cache_size: int = 0, cache_seconds: float = 120, cache_refresh: float = 60):
         self.spark, self.catalog = spark, catalog
-        self.cache = Cache(cache_size, cache_seconds)
+        self.cache = Cache(cache_size, cache_seconds, cache_refresh)
 
     # --- binding ---------------------------------------------------------------------------------------
 
@@ -149,8 +150,9 @@ class Engine:
     def page(self, name: str, query: dict[str, str] | None = None) -> Page:
         """A page of at most `limit` rows, and where the next begins. limit=-1 is for items(), which doesn't collect."""
         key = (name, tuple(sorted((query or {}).items())))
-        if hit := self.cache.get(key):
-            return hit
+        return self.cache.through(key, lambda: self._page(name, query))
+
+    def _page(self, name: str, query: dict[str, str] | None) -> Page:
         r = self.bind(name, query)
         if r.limit is None:
             raise ValueError("a page needs a limit")
@@ -164,9 +166,7 @@ class Engine:
             rows = rows[: r.limit]
         shown = len(rows[0]) - len(r.order) if rows else 0
         named = [Row(**dict(list(x.asDict().items())[:shown])) for x in rows]
-        page = Page(named, following.wire() if following else None, len(named))
-        self.cache.put(key, page)
-        return page
+        return Page(named, following.wire() if following else None, len(named))
 
     def count(self, name: str, query: dict[str, str] | None = None) -> DataFrame:
         """numberMatched: rows that meet the filters, whatever the page."""
@@ -186,11 +186,15 @@ class Engine:
         """
         out = []
         limit = None
-        for i, name in enumerate(names or list(self.catalog.collections)):
+        names = names or list(self.catalog.collections)
+        shown = str((query or {}).get("layernames") or ",".join(names)).split(",")
+        if len(shown) != len(names):
+            raise ValueError("'layernames' must name each collection")
+        for i, name in enumerate(names):
             r = self.bind(name, query)
             limit = r.limit
             df = self.plan(r)
-            head = [F.lit(i).alias("_collection"), F.lit(name).alias("collection")]
+            head = [F.lit(i).alias("_collection"), F.lit(shown[i]).alias("collection")]
             if limit is not None:
                 df = df.withColumn("_rank", F.monotonically_increasing_id())
             else:
@@ -242,21 +246,39 @@ def geometry_column(p: Property, target: int) -> Column:
 
 @dataclass
 class Cache:
-    """Pages by request, the oldest of `size` first to go, each for some seconds."""
+    """Pages by request, the oldest of `size` first to go, each for some seconds.
+
+    A page older than `refresh` seconds is still given, while it is made again in a thread.
+    """
 
     size: int = 0
     seconds: float = 120
+    refresh: float = 60
     held: OrderedDict[Any, tuple[float, Any]] = field(default_factory=OrderedDict)
+    busy: dict[Any, threading.Thread] = field(default_factory=dict)
 
-    def get(self, key):
+    def through(self, key, make):
+        """What is held for the key, else what make() gives."""
         found = self.held.get(key)
-        if found and time.monotonic() - found[0] <= self.seconds:
+        age = time.monotonic() - found[0] if found else 0
+        if found and age <= self.seconds:
+            if age > self.refresh and key not in self.busy:
+                self.busy[key] = threading.Thread(target=self._again, args=(key, make), daemon=True)
+                self.busy[key].start()
             return found[1]
-        self.held.pop(key, None)
-        return None
+        made = make()
+        self.put(key, made)
+        return made
+
+    def _again(self, key, make) -> None:
+        try:
+            self.put(key, make())
+        finally:
+            self.busy.pop(key, None)
 
     def put(self, key, value) -> None:
         if self.size:
+            self.held.pop(key, None)
             self.held[key] = (time.monotonic(), value)
             while len(self.held) > self.size:
                 self.held.popitem(last=False)

@@ -8,6 +8,8 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
+from urllib.parse import urlencode
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,9 @@ def from_cursor(order: list[tuple[Property, bool]], cursor: Cursor, nulls: str =
         value = _value(coerce(first.kind, cursor.values[0], nullable=False), first.kind)
         found = (first.stored >= value if up else first.stored <= value) & found
     return found
+
+
+def next_link(path: str, query: dict[str, str], cursor: str | None, param: str = "next") -> str | None:
+    """The request again, with the next page's cursor instead of its own and of an offset; None behind the last page."""
+    kept = {k: v for k, v in query.items() if k not in (param, "offset")}
+    return f"{path}?{urlencode(kept | {param: cursor})}" if cursor else None

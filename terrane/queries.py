@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,8 +23,9 @@ from .plans import paging, params
 from .plans.catalog import Catalog, Collection, static_filter
 from .plans.engine import Engine
 from .plans.properties import Composite, Property, static
-from .sinks import text
-from .sources.readers import parquet
+from .sinks import files, text
+from .sources.config import check, load
+from .sources.readers import geopackage, jdbc, parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,6 +557,179 @@ def wkb_envelopes(spark: SparkSession, base: str) -> DataFrame:
     return df.select("event_id", *(g(F.col("line")).alias(n) for n, g in f.items()))
 
 
+_lines("wkb_equals", "S_EQUALS(line, LINESTRING(6 4.08, 26 4.08)) OR S_EQUALS(line, LINESTRING(10 7.5, -10 7.5))", "y = 4.08 AND x = 6 OR y = 7.5 AND x = -10")
+
+
+@query("filter_crs", _E.format(x=f"CAST({_EX} AS DOUBLE)", y=_EY) + f"({_EX}) BETWEEN 25 AND 50 AND {_EY} BETWEEN 10 AND 50")
+def filter_crs(spark: SparkSession, base: str) -> DataFrame:
+    """A filter's box in metres of Web Mercator, a little larger than the degrees it stands for."""
+    e = engine(spark, base)
+    e.catalog.collections["events"] = replace(e.catalog.collection("events"), srids=[84, 3857])
+    metres = "S_INTERSECTS(position, BBOX(2782987.26, 1118889.97, 5565974.55, 6446275.85))"
+    return _flat(e.items("events", {"limit": "-1", "properties": "ts", "filter": metres, "filter-crs": crs.to_uri(3857)}))
+
+
+items("sortby_is_default_order", "orders", {**_OP, "limit": "15", "sortby": "-o_totalprice"}, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 15")
+_GML = f"""'<gml:featureMember><app:{{0}} gml:id="{{0}}.' || event_id || '"><app:{{1}}>{{2}}</app:{{1}}><app:user_id>' || user_id || '</app:user_id></app:{{0}}></gml:featureMember>'"""
+_POS = f"rtrim(rtrim(printf('%.7f', {_EY}), '0'), '.')"
+
+
+@query("gml_lines", "SELECT " + _GML.format("segments", "line", f"""<gml:LineString srsName="urn:ogc:def:crs:OGC:1.3:CRS84"><gml:posList>' || ({_EX}) || ' ' || {_POS} || ' ' || ({_EX} + 20) || ' ' || {_POS} || '</gml:posList></gml:LineString>""") + " AS member FROM events")
+def gml_lines(spark: SparkSession, base: str) -> DataFrame:
+    e = engine(spark, base)
+    return text.gml(e.catalog.collection("segments"), e.items("segments", {"limit": "-1"}))
+
+
+@query("gml_points_latlon", "SELECT " + _GML.format("events", "position", f"""<gml:Point srsName="urn:ogc:def:crs:EPSG::4326"><gml:pos>' || {_POS} || ' ' || ({_EX}) || '</gml:pos></gml:Point>""") + " AS member FROM events")
+def gml_points_latlon(spark: SparkSession, base: str) -> DataFrame:
+    e = engine(spark, base)
+    return text.gml(e.catalog.collection("events"), e.items("events", {"limit": "-1", "properties": "user_id", "crs": crs.to_uri(4326)}), 4326)
+
+
+@query("geojson_latlon", f"""SELECT '{{{{"type":"Feature","id":' || event_id || ',"geometry":{{{{"type":"Point","coordinates":[' || {_POS} || ',' || ({_EX}) || ']}}}},"properties":{{{{"user_id":' || user_id || '}}}}}}}}' AS feature FROM events""".replace("{{", "{").replace("}}", "}"))
+def geojson_latlon(spark: SparkSession, base: str) -> DataFrame:
+    e = engine(spark, base)
+    return text.geojson(e.catalog.collection("events"), e.items("events", {"limit": "-1", "properties": "user_id", "crs": crs.to_uri(4326)}), 4326)
+
+
+@query("geojson_arrays", """SELECT '{"type":"Feature","id":' || p_partkey || ',"geometry":null,"properties":{"words":["' || replace(p_name, ' ', '","') || '"]}}' AS feature FROM part""")
+def geojson_arrays(spark: SparkSession, base: str) -> DataFrame:
+    e = engine(spark, base)
+    return text.geojson(e.catalog.collection("parts"), e.items("parts", {"limit": "-1", "properties": "words"}))
+
+
+@query("geopackage_there_and_back", f"SELECT event_id, CAST({_EX} AS DOUBLE) AS x, {_EY} AS y, user_id, event_type, value, ts FROM events WHERE ({_EX}) BETWEEN 20 AND 32")
+def geopackage_there_and_back(spark: SparkSession, base: str) -> DataFrame:
+    """Written to a GeoPackage file and scanned from it. Both are done by the driver, so its own folder will do."""
+    e = engine(spark, base)
+    found = e.items("events", {"limit": "-1", "bbox": "20,-90,32,90", "properties": "user_id,event_type,value,ts"})
+    with tempfile.TemporaryDirectory() as folder:
+        files.write_geopackage(f"{folder}/e.gpkg", [(e.catalog.collection("events"), found)])
+        read = geopackage(f"{folder}/e.gpkg", "events")(spark)
+    at = {"x": spatial.st_min_x(F.col("position")), "y": spatial.st_max_y(F.col("position"))}
+    return read.select("event_id", *(c.alias(n) for n, c in at.items()), "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("jdbc_scan", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 1000 AND s_nationkey IN (3, 4, 5)")
+def jdbc_scan(spark: SparkSession, base: str) -> DataFrame:
+    """A collection over a database table, read in ranges of its key; filters and columns go to the database."""
+    url, table = f"jdbc:derby:memory:terrane{uuid.uuid4().hex};create=true", "SUPPLIER"
+    rows = spark.read.parquet(f"{base}/supplier.parquet")
+    rows.write.format("jdbc").options(url=url, dbtable=table, driver=_DERBY).save()
+    last = rows.agg(F.max("s_suppkey")).first()[0]
+    read = jdbc(url, table, column="S_SUPPKEY", low="1", high=str(last), parts=3, driver=_DERBY)
+    p = Property
+    suppliers = Collection(
+        "suppliers", table, {table: read}, p("s_suppkey", "s_suppkey", "long", table, nullable=False),
+        [p("s_name", "s_name", "string", table), p("s_acctbal", "s_acctbal", "double", table), p("s_nationkey", "s_nationkey", "int", table)],
+        queryables=["s_acctbal", "s_nationkey"],
+    )
+    return Engine(spark, Catalog().add(suppliers)).items("suppliers", {"limit": "-1", "properties": "s_name,s_acctbal", "filter": "s_acctbal > 1000 AND s_nationkey IN (3, 4, 5)"})
+
+
+_DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+
+
+@query("uuid_equal", "SELECT o_orderkey, '00000000-0000-4000-a000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS uid FROM orders WHERE o_orderkey IN (7, 32)")
+def uuid_equal(spark: SparkSession, base: str) -> DataFrame:
+    e = engine(spark, base)
+    c = e.catalog.collection("orders")
+    uid = Property("uid", "concat('00000000-0000-4000-a000-', lpad(cast(o_orderkey as string), 12, '0'))", "uuid")
+    e.catalog.add(replace(c, properties=[uid], queryables=["uid"]))
+    return e.items("orders", {"limit": "-1", "filter": "uid IN ('00000000-0000-4000-A000-000000000007', '00000000-0000-4000-a000-000000000032')"})
+
+
+@query("bbox_on_two_geometries", f"SELECT event_id FROM events WHERE ({_EX}) BETWEEN -20 AND 60 AND {_EY} BETWEEN 10 AND 50 AND {_EY} BETWEEN -20 AND 60 AND ({_EX}) BETWEEN 10 AND 50")
+def bbox_on_two_geometries(spark: SparkSession, base: str) -> DataFrame:
+    """The request's box on the position, and on another geometry that has x and y changed."""
+    e = engine(spark, base)
+    c = e.catalog.collection("events")
+    turned = replace(c.geometry, name="turned", xy=c.geometry.xy[::-1])
+    e.catalog.add(replace(c, properties=[turned], params={"both": params.SameBbox("turned")}))
+    return e.items("events", {"limit": "-1", "bbox": "-20,10,60,50", "both": "true"}).select("event_id")
+
+
+@query("inverse_filter", _O + "o_totalprice > 100000 AND NOT (o_orderkey <= 50)")
+def inverse_filter(spark: SparkSession, base: str) -> DataFrame:
+    """Literals on the left: 100000 < price, and not 50 >= key."""
+    e = engine(spark, base)
+    r = e.bind("orders", {**_OP, "limit": "-1"})
+    by_name = r.collection.queryable()
+    r.filter = fl.conjunction(fl.inverse(fl.ordered("<", by_name["o_totalprice"], "100000")), fl.negated(fl.inverse(fl.ordered(">=", by_name["o_orderkey"], "50"))))
+    return e.plan(r)
+
+
+@query("number_returned", "SELECT count(*) AS number_returned FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 1000)")
+def number_returned(spark: SparkSession, base: str) -> DataFrame:
+    df, seen = engine(spark, base).observed("orders", {**_OP, "filter": "o_orderstatus = 'F'"})
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["number_returned"],)], "number_returned long")
+
+
+_CONFIG = """
+collections=shops,lines
+srid=3857,990033
+srid.990033.proj4=+proj=utm +zone=33 +ellps=GRS80 +units=m
+collections.shops.table=customer
+collections.shops.id.mapping=c_custkey
+collections.shops.id.alias=shop
+collections.shops.properties=c_name,balance,country,kind,code
+collections.shops.properties.balance.mapping=c_acctbal
+collections.shops.properties.country.mapping=nation.n_name
+collections.shops.properties.kind.mapping='shop'
+collections.shops.properties.code.mapping=c_mktsegment
+collections.shops.properties.code.transformer=Prefix
+collections.shops.properties.code.transformer.arg=seg-
+collections.shops.joins=n
+collections.shops.joins.n.left=customer.c_nationkey
+collections.shops.joins.n.right=nation.n_nationkey
+collections.shops.parameters=code,country
+collections.shops.parameters.country.mapper=like
+collections.shops.filters=f
+collections.shops.filters.f.type=>
+collections.shops.filters.f.prop=balance
+collections.shops.filters.f.value=0
+collections.shops.pagination=balance
+collections.shops.pagination.order=DESC
+collections.shops.pagination.strategy=offset
+collections.lines.table=lineitem
+collections.lines.id.mapping=l_orderkey,l_linenumber
+collections.lines.properties=l_quantity
+"""
+
+
+@query(
+    "configured_collection",
+    """SELECT c_custkey AS shop, c_name, c_acctbal AS balance, n_name AS country, 'shop' AS kind, 'seg-' || c_mktsegment AS code FROM customer JOIN nation ON c_nationkey = n_nationkey
+  WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING' AND (n_name LIKE 'NATION_1%' OR n_name LIKE '%_7') ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 10""",
+)
+def configured_collection(spark: SparkSession, base: str) -> DataFrame:
+    """Aliases, a joined and a static column, a transformer, parameters, a fixed filter, the order and paging from configuration."""
+    e = Engine(spark, load(spark, _CONFIG, base))
+    return e.items("shops", {"code": "seg-BUILDING", "country": "NATION_1*,*_7", "limit": "20", "next": paging.Cursor(("",), 10).wire()})
+
+
+@query("config_check", "SELECT 'a: a: id.mapping is needed' AS problem")
+def config_check(spark: SparkSession, base: str) -> DataFrame:
+    broken = "collections=a,lines\ncollections.a.type=test\n" + _CONFIG.split("\n", 2)[2]
+    return spark.createDataFrame([(x,) for x in check(spark, broken, base=base)], "problem string")
+
+
+#: Helmert's series for the length of the meridian, in powers of the third flattening, times the scale of the zone.
+_N3 = "(1 / 298.257222101) / (2 - 1 / 298.257222101)"
+_ARC = """0.9996 * 6378137.0 / (1 + n) * ((1 + n * n / 4 + n ** 4 / 64) * p - 1.5 * (n - n ** 3 / 8) * sin(2 * p) + 15.0 / 16 * (n * n - n ** 4 / 4) * sin(4 * p)
+  - 35.0 / 48 * n ** 3 * sin(6 * p) + 315.0 / 512 * n ** 4 * sin(8 * p))"""
+
+
+@query("configured_srid", f"SELECT event_id, 500000.0::DOUBLE AS x, round({_ARC}, 2) AS y FROM (SELECT event_id, radians({_EY}) AS p, {_N3} AS n FROM events WHERE ({_EX}) = 15 AND {_EY} BETWEEN 1 AND 80)")
+def configured_srid(spark: SparkSession, base: str) -> DataFrame:
+    """Positions on the meridian of a zone that the configuration adds: there x is fixed and y the meridian's length."""
+    load(spark, _CONFIG, base)
+    found = engine(spark, base).items("events", {"limit": "-1", "bbox": "15,1,15,80"})
+    x, y = project_columns(F.col("position.x"), F.col("position.y"), 84, 990033)
+    return found.select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """A filter, an order and a page over orders."""
     return engine(spark, base).items(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 import re
 from dataclasses import replace
@@ -9,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from ..functions import transformers
-from ..functions.crs import SRIDS, Srid
+from ..functions.crs import SRIDS, Srid, register
 from ..operators.joins import MANY_TO_MANY, MANY_TO_ONE, ONE_TO_MANY, ONE_TO_ONE, Join
 from ..plans import params
 from ..plans.catalog import Catalog, Collection, discover, static_filter
@@ -81,6 +82,8 @@ class Loader:
             wrap = tuple(float(c[f"srid.{code}.{k}"]) for k in ("wrapXMin", "wrapXMax") if f"srid.{code}.{k}" in c)
             if len(wrap) == 1:
                 raise ValueError(f"srid {code}: both wrap bounds or none are needed")
+            if f"srid.{code}.proj4" in c:
+                known = register(code, c[f"srid.{code}.proj4"])
             SRIDS[code] = replace(known, lat_lon=flag("latLon", known.lat_lon), degrees=flag("degrees", known.degrees), wrap=wrap or known.wrap)
         out = Catalog(
             title=c.get("api.title", "Features"),
@@ -89,6 +92,9 @@ class Loader:
             limit_default=int(c.get("getfeatures.limit.default", 1000)),
             limit_max=int(c.get("getfeatures.limit.max", 10_000)),
         )
+        for name in _list(c.get("functions", "")):
+            module, _, attribute = name.rpartition(".")
+            out.functions.register(getattr(importlib.import_module(module), attribute))
         return out.add(*map(self.collection, _list(c["collections"])))
 
     def collection(self, name: str) -> Collection:

@@ -1,12 +1,16 @@
 import datetime as dt
 import sqlite3
+import struct
+from urllib.parse import parse_qsl
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from terrane.functions import geometry, spatial
+from terrane.functions import crs, geometry, registry, spatial
 from terrane.operators import metadata
 from terrane.plans import filters as fl
-from terrane.plans import params
+from terrane.plans import paging, params
 from terrane.plans.catalog import Catalog, Collection
 from terrane.plans.engine import Engine
 from terrane.plans.properties import Property
@@ -208,6 +212,72 @@ def test_metadata(spark, engine):
     assert metadata.json_schema(catalog.collection("breakwater"))["properties"]["kind"]["enum"] == ["13", "23"]
     assert metadata.conformance(spark).count() == len(metadata.CONFORMANCE)
     assert metadata.landing(catalog)["title"] == "Features"
+    api = metadata.openapi(catalog)
+    given = {p["name"]: p["schema"] for p in api["paths"]["/collections/breakwater/items"]["get"]["parameters"]}
+    assert (given["limit"]["type"], given["limit"]["maximum"], given["bbox"]["items"]["type"]) == ("integer", 10_000, "number")
+    assert given["properties"]["items"]["enum"] == ["mtk_id", "accuracy", "kind"] and given["kind"] == {"type": "string"}
+    assert api["components"]["schemas"]["pages"]["properties"]["properties"]["properties"] == {"my_prop": {"type": "string"}}
+
+
+def test_next_link(engine):
+    query = {"limit": "1", "offset": "3", "filter": "my_prop = 'a b'"}
+    cursor = engine.page("pages", {"limit": "1"}).next
+    link = paging.next_link("/collections/pages/items", query, cursor)
+    asked = dict(parse_qsl(link.partition("?")[2]))
+    assert asked == {"limit": "1", "filter": "my_prop = 'a b'", "next": cursor}
+    assert engine.page("pages", {"limit": asked["limit"], "next": asked["next"]}).rows[0].fid == "2"
+    assert paging.next_link("/x", query, None) is None
+
+
+def test_layer_names(engine):
+    rows = engine.multi(["breakwater", "pages"], {"layernames": "walls,leaves"}).select("collection").distinct().collect()
+    assert {r.collection for r in rows} == {"walls", "leaves"}
+    with pytest.raises(ValueError):
+        engine.multi(["breakwater", "pages"], {"layernames": "walls"})
+
+
+TWICE = registry.Function("Twice", lambda g, n: n * 2, (("geometry", "geometry"), ("n", "number")), "number")
+
+
+def test_functions_of_a_configuration(spark):
+    loaded = config.load(spark, TEST + f"functions={__name__}.TWICE\n")
+    assert loaded.functions.call("twice", [geometry.point(1, 1), 4.0]) == 8
+
+
+def test_srid_of_a_configuration(spark):
+    config.load(spark, TEST + "srid=990001,990002\nsrid.990001.proj4=+proj=tmerc +lat_0=0 +lon_0=27 +k=0.9996 +x_0=500000 +y_0=0 +ellps=GRS80\nsrid.990002.proj4=+proj=utm +zone=35 +south +datum=WGS84\n")
+    for x, y in ((26.5, 61.25), (27, 60)):
+        assert crs.project(x, y, 84, 990001) == pytest.approx(crs.project(x, y, 84, 3067), abs=1e-6)
+        south = crs.project(x, -y, 84, 990002)
+        assert south == pytest.approx((crs.project(x, y, 84, 32635)[0], 10_000_000 - crs.project(x, y, 84, 32635)[1]), abs=1e-6)
+        assert crs.project(*south, 32735, 84) == pytest.approx((x, -y), abs=1e-9)
+    line = geometry.write_wkb(geometry.read_wkt("LINESTRING(26 60, 27 61)"))
+    moved = spark.createDataFrame([(bytearray(line),), (None,)], "g binary").select(spatial.reproject_wkb(F.col("g"), 84, 990001).alias("g")).collect()
+    assert geometry.read_wkb(bytes(moved[0].g)).coords[1] == pytest.approx(crs.project(27, 61, 84, 990001)) and moved[1].g is None
+    for bad in ("+proj=lcc +lat_1=3", "+proj=tmerc +ellps=bessel", "+proj=utm +zone=3 +towgs84=1,2,3"):
+        with pytest.raises(ValueError):
+            crs.register(990003, bad)
+
+
+def test_envelopes_in_bulk():
+    shapes = ["POINT(1 2)", "POINT(3 4)", "LINESTRING(1 5, 7 2)", "LINESTRING(1 5, 7 2, 9 9)", "POLYGON((0 0, 4 0, 4 4, 0 0))", "POLYGON((0 0, 9 0, 9 9, 0 0), (2 1, 3 1, 3 2, 2 1))",
+              "POINT EMPTY", "POINT(1 2 3)", "MULTIPOINT((1 2), (8 9))", "POINT(5 6)"]
+    made = [geometry.read_wkt(x) for x in shapes]
+    blobs = [geometry.write_wkb(g) for g in made] + [None, geometry.write_gpkg(made[0], 4326)]
+    blobs.append(b"\0" + (1).to_bytes(4, "big") + struct.pack(">dd", 7, 8))
+    found = spatial.wkb_envelopes(pd.Series(blobs, dtype="object"))
+    for b, *bounds, empty in zip(blobs, *found, strict=True):
+        e = geometry.read_wkb(b).envelope if b is not None else None
+        assert (tuple(bounds) if e else None) == (tuple(map(float, e)) if e else None) and empty == (None if b is None else e is None)
+
+
+def test_cache_is_refreshed(spark, engine):
+    e = Engine(spark, engine.catalog, cache_size=2, cache_refresh=0)
+    first = e.page("pages")
+    again = e.page("pages")  # the held page, and a new one is being made
+    for thread in list(e.cache.busy.values()):
+        thread.join()
+    assert again is first and e.page("pages") is not first and e.page("pages").rows == first.rows
 
 
 def test_observed(engine):
