@@ -18,8 +18,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes in a part of a table that is written, as Spark's own joining of small partitions has them in the order of magnitude.
-PART_BYTES = 16_000_000
+#: Bytes in a part of a table that is written, of the order at which Spark joins small partitions.
+PART_BYTES = 4_000_000
 _made: list[str] = []
 
 
