@@ -26,15 +26,17 @@ _TYPES: dict[str, tuple[type, ...]] = {"geometry": (Geometry,), "number": (int,
 
 
 def _st_buffer(geometry: Geometry, radius: float, style: str = "") -> Geometry:
-    """Styles: quad_segs=n, join=round and endcap=round; other joins and ends are refused."""
-    quarter = 8
+    """Styles: quad_segs=n, join=round, mitre (or miter) or bevel, endcap=round, flat (or butt) or square."""
+    quarter, chosen = 8, {"join": "round", "endcap": "round"}
     for part in style.split():
         key, _, value = part.partition("=")
         if key == "quad_segs":
             quarter = int(value)
-        elif key not in ("join", "endcap") or value != "round":
+        elif key in chosen:
+            chosen[key] = {"miter": "mitre", "butt": "flat"}.get(value, value)
+        else:
             raise ValueError(f"not a supported buffer style: {part!r}")
-    return buffer(geometry, radius, quarter)
+    return buffer(geometry, radius, quarter, chosen["join"], chosen["endcap"])
 
 
 BUILT_IN = (

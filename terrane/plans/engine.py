@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 from collections import OrderedDict
@@ -273,6 +274,8 @@ class Cache:
     def _again(self, key, make) -> None:
         try:
             self.put(key, make())
+        except Exception:  # the held page goes on until its time is over
+            logging.getLogger(__name__).warning("a page was not made again", exc_info=True)
         finally:
             self.busy.pop(key, None)
 

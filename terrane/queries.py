@@ -308,6 +308,9 @@ def _buffer_sql() -> str:
 _events("function_buffer", {"filter": "S_INTERSECTS(position, BUFFER(POINT(10 20), 3))"}, _buffer_sql())
 
 
+_events("function_st_buffer", {"filter": "S_INTERSECTS(position, ST_BUFFER(LINESTRING(0 20, 40 20, 40 60), 2.9951, 'join=mitre endcap=square'))"}, f"({_EX}) BETWEEN -2.9951 AND 42.9951 AND {_EY} BETWEEN 17.0049 AND 22.9951 OR ({_EX}) BETWEEN 37.0049 AND 42.9951 AND {_EY} BETWEEN 17.0049 AND 62.9951")
+
+
 @query("intersects_index", _E.format(x=f"CAST({_EX} AS DOUBLE)", y=_EY) + f"({_EX}) BETWEEN -20 AND 60 AND {_EY} BETWEEN 10 AND 50")
 def intersects_index(spark: SparkSession, base: str) -> DataFrame:
     e = engine(spark, base)
@@ -669,7 +672,7 @@ def number_returned(spark: SparkSession, base: str) -> DataFrame:
 _CONFIG = """
 collections=shops,lines
 srid=3857,990033
-srid.990033.proj4=+proj=utm +zone=33 +ellps=GRS80 +units=m
+srid.990033.proj4=+proj=tmerc +lat_0=0 +lon_0=-82 +k=0.9996 +x_0=500000 +ellps=GRS80 +units=m
 collections.shops.table=customer
 collections.shops.id.mapping=c_custkey
 collections.shops.id.alias=shop
@@ -721,11 +724,11 @@ _ARC = """0.9996 * 6378137.0 / (1 + n) * ((1 + n * n / 4 + n ** 4 / 64) * p - 1.
   - 35.0 / 48 * n ** 3 * sin(6 * p) + 315.0 / 512 * n ** 4 * sin(8 * p))"""
 
 
-@query("configured_srid", f"SELECT event_id, 500000.0::DOUBLE AS x, round({_ARC}, 2) AS y FROM (SELECT event_id, radians({_EY}) AS p, {_N3} AS n FROM events WHERE ({_EX}) = 15 AND {_EY} BETWEEN 1 AND 80)")
+@query("configured_srid", f"SELECT event_id, 500000.0::DOUBLE AS x, round({_ARC}, 2) AS y FROM (SELECT event_id, radians({_EY}) AS p, {_N3} AS n FROM events WHERE ({_EX}) = -82 AND {_EY} BETWEEN 1 AND 80)")
 def configured_srid(spark: SparkSession, base: str) -> DataFrame:
     """Positions on the meridian of a zone that the configuration adds: there x is fixed and y the meridian's length."""
     load(spark, _CONFIG, base)
-    found = engine(spark, base).items("events", {"limit": "-1", "bbox": "15,1,15,80"})
+    found = engine(spark, base).items("events", {"limit": "-1", "bbox": "-82,1,-82,80"})
     x, y = project_columns(F.col("position.x"), F.col("position.y"), 84, 990033)
     return found.select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 

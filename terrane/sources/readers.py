@@ -65,7 +65,7 @@ def memory(properties: list[Property], rows: list[str]) -> Reader:
 
 
 _SQLITE = {
-    "BOOLEAN": "boolean", "TINYINT": "int", "SMALLINT": "int", "MEDIUMINT": "int", "INT": "bigint", "INTEGER": "bigint", "FLOAT": "float",
+    "BOOLEAN": "boolean", "TINYINT": "int", "SMALLINT": "int", "MEDIUMINT": "int", "INT": "bigint", "INTEGER": "bigint", "BIGINT": "bigint", "FLOAT": "float",
     "DOUBLE": "double", "REAL": "double", "DATE": "date", "DATETIME": "timestamp",
 }
 

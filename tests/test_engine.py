@@ -271,12 +271,19 @@ def test_envelopes_in_bulk():
         assert (tuple(bounds) if e else None) == (tuple(map(float, e)) if e else None) and empty == (None if b is None else e is None)
 
 
+def test_moments_in_a_geopackage():
+    at = [dt.datetime(2024, 1, 2, 3, 4, 20, us) for us in (0, 151, 500_000, 20_151)]
+    assert [files._stored(x) for x in at] == ["2024-01-02T03:04:20Z", "2024-01-02T03:04:20.000151Z", "2024-01-02T03:04:20.500Z", "2024-01-02T03:04:20.020151Z"]
+    assert [dt.datetime.fromisoformat(files._stored(x)).replace(tzinfo=None) for x in at] == at
+
+
 def test_cache_is_refreshed(spark, engine):
     e = Engine(spark, engine.catalog, cache_size=2, cache_refresh=0)
     first = e.page("pages")
     again = e.page("pages")  # the held page, and a new one is being made
     for thread in list(e.cache.busy.values()):
         thread.join()
+    e.cache.refresh = 60
     assert again is first and e.page("pages") is not first and e.page("pages").rows == first.rows
 
 

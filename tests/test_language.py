@@ -263,7 +263,17 @@ def test_buffer():
     line = f.call("Buffer", [geometry.read_wkt("LINESTRING(0 0,10 0,10 10)"), 1.0])
     assert geometry.locate((5, 0.9), line) == geometry.locate((10.9, 5), line) == "I"
     assert geometry.locate((5, 1.1), line) == "E"
-    for bad in (["x", 1.0], [geometry.point(0, 0)], [geometry.point(0, 0), -1.0], [geometry.point(0, 0), 1.0, "join=mitre"]):
+    styled = lambda style, wkt_text="LINESTRING(0 0,10 0,10 10)": f.call("ST_Buffer", [geometry.read_wkt(wkt_text), 1.0, style])
+    at = lambda style, *spots, **more: "".join(geometry.locate(p, styled(style, **more)) for p in spots)
+    corner, ends = ((10.95, -0.95), (10.45, -0.45), (11.1, 0.5)), ((-0.5, 0), (-0.95, 0.95), (10, 10.5), (0.5, 0.5))
+    assert at("join=mitre", *corner) == "IIE" and at("join=bevel", *corner) == "EIE" and at("join=round", *corner) == "EIE"
+    assert at("join=bevel endcap=flat", *ends) == "EEEI" and at("endcap=square", *ends) == "IIII" and at("join=miter endcap=round", *ends) == "IEII"
+    assert at("join=mitre", (19, 0), (20.2, 0), wkt_text="LINESTRING(0 2, 20 0, 0 -2)") == "IE"  # a tip beyond the limit is cut off
+    square = "POLYGON((0 0,10 0,10 10,0 10,0 0),(3 3,7 3,7 7,3 7,3 3))"
+    assert at("join=mitre", (-0.95, -0.95), (10.95, 10.95), (3.5, 5), (5, 5), (-1.1, 5), wkt_text=square) == "IIIEE"
+    assert at("join=bevel", (-0.95, -0.95), (-0.4, -0.4), wkt_text=square) == "EI"
+    assert at("endcap=square", (5.9, 5.9), (6.1, 5), wkt_text="POINT(5 5)") == "IE"
+    for bad in (["x", 1.0], [geometry.point(0, 0)], [geometry.point(0, 0), -1.0], [geometry.point(0, 0), 1.0, "join=odd"], [geometry.point(0, 0), 1.0, "side=left"]):
         with pytest.raises(ValueError):
             f.call("ST_Buffer", bad)
 
