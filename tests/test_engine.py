@@ -1,8 +1,10 @@
 import datetime as dt
+import math
 import sqlite3
 import struct
 from urllib.parse import parse_qsl
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -277,6 +279,25 @@ def test_moments_in_a_geopackage():
     assert [dt.datetime.fromisoformat(files._stored(x)).replace(tzinfo=None) for x in at] == at
 
 
+def test_points_in_bulk(spark):
+    """Points on, in and beside all kinds of literals, against one at a time."""
+    spots = [(a / 2, b / 2) for a in range(-4, 25) for b in range(-4, 25)] + [(float("nan"), 1.0), (3.1, 2.7)]
+    ring = [(6 + 5 * math.cos(i * math.pi / 50), 6 + 5 * math.sin(i * math.pi / 50)) for i in range(100)]
+    shapes = [
+        "MULTILINESTRING((0 0, 4 4, 8 0), (8 0, 10 10), (1 1, 1 5, 5 5, 1 1))", "MULTILINESTRING((0 0, 2 0), (2 0, 2 2), (2 0, 4 0))", "MULTIPOLYGON(((0 0, 4 0, 4 4, 0 0)), ((3 3, 9 3, 9 9, 3 9, 3 3), (5 5, 7 5, 7 7, 5 7, 5 5)))",
+        "GEOMETRYCOLLECTION(POINT(1 1), LINESTRING(0 0, 3 0), POLYGON((2 2, 6 2, 2 6, 2 2)))", "MULTIPOINT((1 1), (2 3))", f"POLYGON(({', '.join(f'{x} {y}' for x, y in [*ring, ring[0]])}))",
+    ]
+    x, y = (np.array(v) for v in zip(*spots, strict=True))
+    for text_ in shapes:
+        g = geometry.read_wkt(text_)
+        assert [w.decode() for w in spatial.locate_all(x, y, g).tolist()] == [geometry.locate(p, g) for p in spots], text_
+    df = spark.createDataFrame([*spots, (None, 1.0)], "x double, y double")
+    g = geometry.read_wkt(shapes[-1])
+    for op, wanted in (("INTERSECTS", "IB"), ("DISJOINT", "E"), ("WITHIN", "I"), ("EQUALS", "")):
+        rows = df.select("x", "y", spatial.point_predicate(op, F.col("x"), F.col("y"), g).alias("f")).collect()
+        assert [r.f for r in rows] == [geometry.locate(p, g) in wanted if wanted else False for p in spots] + [None]
+
+
 def test_cache_is_refreshed(spark, engine):
     e = Engine(spark, engine.catalog, cache_size=2, cache_refresh=0)
     first = e.page("pages")
