@@ -46,22 +46,20 @@ def number_text(value: float, decimals: tuple[int, int]) -> str:
         whole, tail = text.split(".")
         tail = tail.rstrip("0").ljust(low, "0")
         text = f"{whole}.{tail}" if tail else whole
-    return "0" if text == "-0" else text
+    return text.lstrip("-") if not text.strip("-0.") else text
 
 
 def number(c: Column, decimals: tuple[int, int]) -> Column:
     """The same as a Column; null for what is no number."""
     low, high = decimals
-    text = F.round(c.cast("decimal(38,18)"), high).cast("string")
-    if low < high:
-        text = F.regexp_replace(text, rf"(\.\d{{{low}}}\d*?)0+$", "$1")
-        text = F.regexp_replace(text, r"\.$", "")
-    elif high:
-        text = F.regexp_extract(text, rf"^-?\d+\.\d{{{high}}}", 0)
-    if high == 0:
-        text = F.regexp_replace(text, r"\..*$", "")
+    # a decimal of this scale has a point and all its decimals, and no zero with a sign
+    text = F.round(c.cast("decimal(38,18)"), high).cast(f"decimal(38,{high})").cast("string")
+    if low == 0 < high:
+        text = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    elif low < high:
+        text = F.concat(F.substring(text, F.lit(1), F.length(text) - (high - low)), F.rtrim(F.right(text, F.lit(high - low)), F.lit("0")))
     usable = ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 1e19)
-    return F.when(usable, F.when(text == "-0", F.lit("0")).otherwise(text))
+    return F.when(usable, text)
 
 
 def instant(c: Column) -> Column:
