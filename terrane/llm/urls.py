@@ -68,7 +68,7 @@ def cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES
     """Filters for the listed keys among all keys of universe (each with a column key, without repeats).
 
     None if they would take more than most_bytes together. A first level of n keys among m others takes about
-    1.44 * log2(m / n) bits a key, all later ones about 10 more.
+    1.44 * log2(m / n) bits a key, all later ones about 6 more.
     """
     inside = checkpointed(universe.join(listed, "key", "left_semi"))
     outside = checkpointed(universe.join(listed, "key", "left_anti"))
