@@ -25,7 +25,7 @@ from .plans.engine import Engine
 from .plans.properties import Composite, Property, static
 from .sinks import files, text
 from .sources.config import check, load
-from .sources.readers import geopackage, jdbc, parquet
+from .sources.readers import empty, geopackage, jdbc, parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -733,6 +733,73 @@ def configured_srid(spark: SparkSession, base: str) -> DataFrame:
     return found.select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
+_IN_MEMORY = """
+collections=piers
+collections.piers.type=test
+collections.piers.id.mapping=id
+collections.piers.geometry.mapping=spot
+collections.piers.geometry.type=POINT
+collections.piers.properties=wood,built
+collections.piers.properties.wood.enum=oak,pine
+collections.piers.parameters=wood
+collections.piers.testdata.1=p1;POINT(2 3);oak;1950
+collections.piers.testdata.2=p2;POINT(4 5);pine;null
+collections.piers.testdata.3=p3;POINT(6 7);oak;1970
+"""
+
+
+@query("in_memory_collection", """SELECT unnest(['{"type":"Feature","id":"p1","geometry":{"type":"Point","coordinates":[2,3]},"properties":{"wood":"oak","built":"1950"}}',
+  '{"type":"Feature","id":"p3","geometry":{"type":"Point","coordinates":[6,7]},"properties":{"wood":"oak","built":"1970"}}']) AS feature""")
+def in_memory_collection(spark: SparkSession, base: str) -> DataFrame:
+    e = Engine(spark, load(spark, _IN_MEMORY))
+    return text.geojson(e.catalog.collection("piers"), e.items("piers", {"wood": "oak"}))
+
+
+@query("empty_source", "SELECT o_orderkey, o_orderstatus FROM orders WHERE false")
+def empty_source(spark: SparkSession, base: str) -> DataFrame:
+    c = Collection("none", "none", {"none": empty("o_orderkey long, o_orderstatus string")}, Property("o_orderkey", "o_orderkey", "long", "none"), [Property("o_orderstatus", "o_orderstatus", "string", "none")])
+    return Engine(spark, Catalog().add(c)).items("none", {"limit": "-1"})
+
+
+@query("negotiated_formats", "SELECT * FROM (VALUES ('text/html,*/*;q=0.1', 'json'), ('text/csv;q=0.9', 'csv'), ('image/png, text/html', 'html'), ('', 'json'), ('image/png', NULL)) t(accept, format)")
+def negotiated_formats(spark: SparkSession, base: str) -> DataFrame:
+    def chosen(accept: str) -> str | None:
+        try:
+            return files.negotiate(None, accept)
+        except ValueError:
+            return None
+
+    given = ("text/html,*/*;q=0.1", "text/csv;q=0.9", "image/png, text/html", "", "image/png")
+    return spark.createDataFrame([(a, chosen(a)) for a in given], "accept string, format string")
+
+
+@query("landing_links", "SELECT * FROM (VALUES ('self', '/'), ('service-desc', '/api'), ('conformance', '/conformance'), ('data', '/collections')) t(rel, href)")
+def landing_links(spark: SparkSession, base: str) -> DataFrame:
+    return spark.createDataFrame([(x["rel"], x["href"]) for x in metadata.landing(catalog(base))["links"]], "rel string, href string")
+
+
+@query(
+    "openapi_parameters",
+    """SELECT * FROM (VALUES ('f', 'string'), ('limit', 'integer'), ('offset', 'integer'), ('next', 'string'), ('bbox', 'array'), ('bbox-crs', 'string'), ('datetime', 'string'), ('crs', 'string'),
+  ('properties', 'array'), ('filter', 'string'), ('filter-lang', 'string'), ('filter-crs', 'string'), ('valid', 'string'), ('near', 'string')) t(name, type)""",
+)
+def openapi_parameters(spark: SparkSession, base: str) -> DataFrame:
+    given = metadata.openapi(catalog(base))["paths"]["/collections/events/items"]["get"]["parameters"]
+    return spark.createDataFrame([(p["name"], p["schema"]["type"]) for p in given], "name string, type string")
+
+
+@query("renamed_layers", """SELECT 0 AS _collection, 'sizes' AS collection, p_partkey, NULL AS o_orderkey FROM part WHERE p_size BETWEEN 40 AND 50 OR p_size IN (1, 2)
+  UNION ALL SELECT 1, 'sales', NULL, o_orderkey FROM orders""")
+def renamed_layers(spark: SparkSession, base: str) -> DataFrame:
+    return engine(spark, base).multi(["large_parts", "orders"], {"properties": "none", "limit": "-1", "layernames": "sizes,sales"}).select("_collection", "collection", "p_partkey", "o_orderkey")
+
+
+@query("telemetry", """SELECT '{"collection":"orders","numberReturned":' || count(*) || ',"limit":"7"}' AS line FROM (SELECT * FROM orders LIMIT 7)""")
+def telemetry(spark: SparkSession, base: str) -> DataFrame:
+    page = engine(spark, base).page("orders", {**_OP, "limit": "7"})
+    return spark.createDataFrame([(metadata.telemetry_line("orders", page.number_returned, limit="7"),)], "line string")
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """A filter, an order and a page over orders."""
     return engine(spark, base).items(
