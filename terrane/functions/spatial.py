@@ -272,13 +272,14 @@ def project_columns(x: Column, y: Column, source: int, target: int) -> tuple[Col
 def reproject_wkb(wkb: Column, source: int, target: int) -> Column:
     if crs.is_identity(source, target):
         return wkb
-    zones, geographic = dict(crs.ZONES), set(crs.GEOGRAPHIC)  # with those that a configuration has registered
+    zones, cones, geographic = dict(crs.ZONES), dict(crs.CONES), set(crs.GEOGRAPHIC)  # with those that a configuration has registered
 
     @pandas_udf("binary")
     def moved(blobs: pd.Series) -> pd.Series:
         from .geometry import write_wkb
 
         crs.ZONES.update(zones)
+        crs.CONES.update(cones)
         crs.GEOGRAPHIC.update(geographic)
         return pd.Series([None if b is None else write_wkb(crs.reproject(read_wkb(bytes(b), source), target)) for b in blobs], dtype="object")
 

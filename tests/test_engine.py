@@ -256,11 +256,34 @@ def test_srid_of_a_configuration(spark):
     line = geometry.write_wkb(geometry.read_wkt("LINESTRING(26 60, 27 61)"))
     moved = spark.createDataFrame([(bytearray(line),), (None,)], "g binary").select(spatial.reproject_wkb(F.col("g"), 84, 990001).alias("g")).collect()
     assert geometry.read_wkb(bytes(moved[0].g)).coords[1] == pytest.approx(crs.project(27, 61, 84, 990001)) and moved[1].g is None
-    for bad in ("+proj=lcc +lat_1=3", "+proj=tmerc +ellps=bessel", "+proj=utm +zone=3 +towgs84=1,2,3"):
+    for bad in ("+proj=lcc +lat_0=3", "+proj=lcc +lat_1=3 +lat_2=-3", "+proj=laea +lat_0=52", "+proj=tmerc +ellps=bessel", "+proj=utm +zone=3 +towgs84=1,2,3"):
         with pytest.raises(ValueError):
             crs.register(990003, bad)
 
 
+def test_conic_projection(spark):
+    """The origin, true lengths along both parallels, right angles kept, there and back, and the same as Columns."""
+    crs.register(990004, "+proj=lcc +lat_0=46.5 +lon_0=3 +lat_1=49 +lat_2=44 +x_0=700000 +y_0=6600000 +ellps=GRS80 +towgs84=0,0,0 +units=m")
+    crs.register(990005, "+proj=lcc +lat_0=-37 +lon_0=145 +lat_1=-36 +lat_2=-38 +x_0=2500000 +y_0=2500000 +ellps=GRS80")
+    assert crs.project(3, 46.5, 84, 990004) == pytest.approx((700_000, 6_600_000), abs=1e-6)
+    assert crs.project(145, -37, 84, 990005) == pytest.approx((2_500_000, 2_500_000), abs=1e-6)
+    e2 = crs.FLATTENING * (2 - crs.FLATTENING)
+    for code, lon, lat in ((990004, 5, 49), (990004, -2, 44), (990005, 141, -36), (990005, 149, -38)):
+        step, at = 1e-5, crs.project(lon, lat, 84, code)
+        east, north = crs.project(lon + step, lat, 84, code), crs.project(lon, lat + step, 84, code)
+        narrow = math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2)
+        true = [crs.AXIS * math.cos(math.radians(lat)) / narrow * math.radians(step), crs.AXIS * (1 - e2) / narrow**3 * math.radians(step)]
+        assert [math.dist(at, east), math.dist(at, north)] == pytest.approx(true, rel=1e-6)
+        assert abs((east[0] - at[0]) * (north[0] - at[0]) + (east[1] - at[1]) * (north[1] - at[1])) < 1e-5
+    spots = [(990004, -4.5, 41.0), (990004, 9.5, 51.2), (990005, 140.0, -39.5), (990005, 150.2, -33.0)]
+    for code, lon, lat in spots:
+        assert crs.project(*crs.project(lon, lat, 84, code), code, 84) == pytest.approx((lon, lat), abs=1e-9)
+        x, y = spatial.project_columns(F.lit(lon), F.lit(lat), 84, code)
+        lon2, lat2 = spatial.project_columns(x, y, code, 84)
+        row = spark.range(1).select(x, y, lon2, lat2).first()
+        assert tuple(row) == pytest.approx((*crs.project(lon, lat, 84, code), lon, lat), rel=1e-12)
+
+
 def test_envelopes_in_bulk():
     shapes = ["POINT(1 2)", "POINT(3 4)", "LINESTRING(1 5, 7 2)", "LINESTRING(1 5, 7 2, 9 9)", "POLYGON((0 0, 4 0, 4 4, 0 0))", "POLYGON((0 0, 9 0, 9 9, 0 0), (2 1, 3 1, 3 2, 2 1))",
               "POINT EMPTY", "POINT(1 2 3)", "MULTIPOINT((1 2), (8 9))", "POINT(5 6)"]
