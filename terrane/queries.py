@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -616,11 +615,10 @@ def geopackage_there_and_back(spark: SparkSession, base: str) -> DataFrame:
 @query("jdbc_scan", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 1000 AND s_nationkey IN (3, 4, 5)")
 def jdbc_scan(spark: SparkSession, base: str) -> DataFrame:
     """A collection over a database table, read in ranges of its key; filters and columns go to the database."""
-    url, table = f"jdbc:derby:memory:terrane{uuid.uuid4().hex};create=true", "SUPPLIER"
-    rows = spark.read.parquet(f"{base}/supplier.parquet")
-    rows.write.format("jdbc").options(url=url, dbtable=table, driver=_DERBY).save()
-    last = rows.agg(F.max("s_suppkey")).first()[0]
-    read = jdbc(url, table, column="S_SUPPKEY", low="1", high=str(last), parts=3, driver=_DERBY)
+    table, rows = "SUPPLIER", spark.read.parquet(f"{base}/supplier.parquet")
+    low, high = rows.agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    ranges = {} if low is None else {"column": "s_suppkey", "low": str(low), "high": str(high), "parts": 3}
+    read = jdbc(files.write_derby(files.shared_path(spark), table, rows), table, driver=_DERBY, **ranges)
     p = Property
     suppliers = Collection(
         "suppliers", table, {table: read}, p("s_suppkey", "s_suppkey", "long", table, nullable=False),

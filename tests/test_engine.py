@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from terrane import queries
 from terrane.functions import crs, geometry, registry, spatial
 from terrane.operators import metadata
 from terrane.plans import filters as fl
@@ -145,6 +146,21 @@ def test_geopackage(spark, engine, tmp_path):
         files.write_geopackage(path, [])
 
 
+def test_derby(spark, tmp_path):
+    rows = [(1, 'a "b", c\n', 2.5, True), (2, "", None, False), (3, None, -0.1, None), (4, " ä' ", 1e-300, True), (None, "x", 0.0, None)]
+    df = spark.createDataFrame(rows, "`Key` int, `it's` string, d double, b boolean").repartition(3)
+    url = files.write_derby(str(tmp_path), "odd's", df)
+    read = readers.jdbc(url, '"odd\'s"', column="Key", low="1", high="4", parts=2)(spark)
+    assert read.dtypes == df.dtypes
+    assert sorted(map(repr, map(tuple, read.collect()))) == sorted(map(repr, rows))
+    assert readers.jdbc(files.write_derby(str(tmp_path), "T", df.limit(0)), "T")(spark).isEmpty()
+
+
+def test_jdbc_scan_of_an_empty_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(0).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert queries.QUERIES["jdbc_scan"](spark, str(tmp_path)).isEmpty()
+
+
 def test_wkb_predicates(spark):
     shapes = ["POINT(5 5)", "POINT(0 5)", "LINESTRING(-5 5,15 5)", "POLYGON((5 5,15 5,15 15,5 15,5 5))", "POINT(50 50)", None]
     df = spark.createDataFrame([(i, geometry.write_wkb(geometry.read_wkt(s)) if s else None) for i, s in enumerate(shapes)], "id int, g binary")

@@ -3,6 +3,8 @@
 import datetime as dt
 import decimal
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -49,3 +51,22 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+_APART = """
+import sys
+from pyspark.sql import SparkSession
+from terrane import queries
+
+conf = {"spark.checkpoint.dir": f"file://{sys.argv[1]}/shared", "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+print("found", sorted(r.s_suppkey for r in queries.QUERIES["jdbc_scan"](spark, sys.argv[2]).collect()))
+"""
+
+
+def test_executors_apart(db, tmp_path):
+    """The database is read by processes that don't share the driver's memory."""
+    ran = subprocess.run([sys.executable, "-c", _APART, str(tmp_path), BASE], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    keys = sorted(r[0] for r in db.sql(queries.SQL["jdbc_scan"]).fetchall())
+    assert f"found {keys}" in ran.stdout, ran.stderr[-2000:]
+    assert not list((tmp_path / "shared").rglob("*.jar"))  # gone with the process
