@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import sqlite3
 import struct
+from types import SimpleNamespace
 from urllib.parse import parse_qsl
 
 import numpy as np
@@ -147,7 +148,7 @@ def test_geopackage(spark, engine, tmp_path):
 
 
 def test_derby(spark, tmp_path):
-    rows = [(1, 'a "b", c\n', 2.5, True), (2, "", None, False), (3, None, -0.1, None), (4, " ä' ", 1e-300, True), (None, "x", 0.0, None)]
+    rows = [(1, 'a "b", c\n', 2.5, True), (2, "", None, False), (3, None, -0.1, None), (4, " ä' ", 1e-300, True), (None, "\r\n\\N,\t ", 0.0, None)]
     df = spark.createDataFrame(rows, "`Key` int, `it's` string, d double, b boolean").repartition(3)
     url = files.write_derby(str(tmp_path), "odd's", df)
     read = readers.jdbc(url, '"odd\'s"', column="Key", low="1", high="4", parts=2)(spark)
@@ -156,6 +157,15 @@ def test_derby(spark, tmp_path):
     assert readers.jdbc(files.write_derby(str(tmp_path), "T", df.limit(0)), "T")(spark).isEmpty()
 
 
+def test_shared_path(tmp_path):
+    session = lambda known: SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: known, master="local-cluster[2,1,1024]"), conf={})
+    for known in (f"file://{tmp_path}/a b%20", f"file:{tmp_path}/a b%20", f"{tmp_path}/a b%20/"):
+        assert files.shared_path(session(known)) == f"{tmp_path}/a b%20" and (tmp_path / "a b%20").is_dir()
+    for known in ("hdfs://nowhere/x", None):
+        with pytest.raises(ValueError):
+            files.shared_path(session(known))
+
+
 def test_jdbc_scan_of_an_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").limit(0).write.parquet(f"{tmp_path}/supplier.parquet")
     assert queries.QUERIES["jdbc_scan"](spark, str(tmp_path)).isEmpty()
