@@ -66,6 +66,14 @@ def test_edge_of_a_circle(spark, tmp_path):
         assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
+def test_one_limit_for_all_collections(spark, db):
+    """Also where the first collection alone has more rows than the limit."""
+    for limit in (20, 70):
+        found = queries.engine(spark, BASE).multi(["large_parts", "orders"], {"properties": "p_name", "limit": str(limit)})
+        expected = db.sql(f"SELECT * FROM ({queries.SQL['multi_collection']}) ORDER BY 1, 3, 5 LIMIT {limit}")
+        assert [tuple(r) for r in found.collect()] == expected.fetchall()
+
+
 _APART = """
 import sys
 from pyspark.sql import SparkSession
