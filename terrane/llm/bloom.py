@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, in_parts
 
 #: Bits a key and hashes of a filter: about one mistake in 50.
 BITS = 8
@@ -22,6 +22,8 @@ HASHES = 5
 MOST_BYTES = 16_000_000
 #: Words that one row of the first combining step holds.
 BLOCK = 512
+#: Bytes of a place and its bit, where sizes of tables are reckoned.
+BIT_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -50,10 +52,11 @@ def make_filter(keys: DataFrame, count: int, salt: int, bits: float = BITS, hash
     places = Filter(salt, size, hashes, keys).places(F.col("key"))
     ones = keys.select(F.explode(F.array(*places)).alias("p")).select(F.floor(F.col("p") / 64).alias("w"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("b"))
     none = keys.sparkSession.range(size).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
-    words = ones.union(none).groupBy("w").agg(F.bit_or("b").alias("b"))
+    most = (count * hashes + size) * BIT_BYTES
+    words = in_parts(ones.union(none).groupBy("w").agg(F.bit_or("b").alias("b")), most)
     in_order = lambda: F.sort_array(F.collect_list(F.struct("w", "b")))
     blocks = words.groupBy(F.floor(F.col("w") / BLOCK).alias("block")).agg(F.transform(in_order(), lambda x: x["b"]).alias("b"))
-    whole = blocks.withColumnRenamed("block", "w").agg(F.flatten(F.transform(in_order(), lambda x: x["b"])).alias("words"))
+    whole = in_parts(blocks, size * BIT_BYTES).withColumnRenamed("block", "w").agg(F.flatten(F.transform(in_order(), lambda x: x["b"])).alias("words"))
     return Filter(salt, size, hashes, checkpointed(whole))
 
 

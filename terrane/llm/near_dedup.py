@@ -179,22 +179,24 @@ def _confirm(percent: int):
     return confirm
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts with the given ids. Most others are left out before any text is moved."""
+def _only(texts: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """The texts with the given ids, found once for all that follows. Most others are left out before any text is moved."""
+    ids = checkpointed(ids, many // BANDS)
     may, _ = bloom.split(texts, F.col("id"), ids.select(F.col("id").alias("key")))
     return may.join(ids, "id", "left_semi")
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Of pairs (a, b, n): those whose full sets are similar. n is the size of b's set, size a bound on the texts' bytes.
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, size: int, many: int) -> DataFrame:
+    """Of pairs (a, b, n): those whose full sets are similar. n is the size of b's set; size and many are bounds on the bytes
+    of the texts and of a row of few numbers for each band of each of them.
 
     The texts of a centre's partners are dealt to as many tasks as they need, the centre's own text to
     each of these.
     """
     parts = pairs.groupBy("a").agg((F.floor(F.sum(F.col("n") + 64) / TASK_SHINGLES) + 1).cast("int").alias("parts"))
-    parts = checkpointed(parts)  # a table of its own: AQE splits a join's hot keys only between plain shuffles
+    parts = checkpointed(parts, many // BANDS)  # a table of its own: AQE splits a join's hot keys only between plain shuffles
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = checkpointed(_only(texts, needed), size)
+    texts = checkpointed(_only(texts, needed, many), size)
     others = (
         pairs.join(parts, "a")
         .withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -364,12 +366,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     balls = _balls(classes.select(F.explode("bands").alias("bucket"), "id"), many)
     own_class = classes.select("fp", F.col("id").alias("node"))
-    links = checkpointed(confirmed(known, _estimated(balls, slim, percent, many), percent, size), many)
+    links = checkpointed(confirmed(known, _estimated(balls, slim, percent, many), percent, size, many), many)
     links = links.union(_of_one_id(signed, own_class, rows))
     labels = components(links, "a", "b")
     more = checkpointed(_across(known, balls, labels, slim, percent, size, many), many)
     if not more.isEmpty():
-        labels = components(links.union(more), "a", "b")
+        known_links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(known_links.union(more), "a", "b")
 
     # a row without words goes by its id, which has links if another row of it has
     placed = (
@@ -445,7 +448,7 @@ def _linked_blocks(texts: DataFrame, blocks: DataFrame, slim: DataFrame, percent
         _alike_members(percent), "centre long, x int, y int, id long, component long"
     )
     alike = checkpointed(alike, many)
-    needed = checkpointed(_only(texts, alike.select("id").distinct()), size)
+    needed = checkpointed(_only(texts, alike.select("id").distinct(), many), size)
     whole = alike.join(needed, "id").groupBy("centre", "x", "y")
     return whole.applyInArrow(_joining_links(percent), "a long, b long")
 
@@ -453,7 +456,7 @@ def _linked_blocks(texts: DataFrame, blocks: DataFrame, slim: DataFrame, percent
 def _by_rare_shingles(texts: DataFrame, members: DataFrame, slim: DataFrame, percent: int, size: int, many: int) -> DataFrame:
     """Links between members (id, component, n) of different components: all of them between holders of a rare shingle, and as
     many as join the components between holders of one that is not rare."""
-    texts = checkpointed(_only(texts, members.select("id")).join(members, "id"), size)
+    texts = checkpointed(_only(texts, members.select("id"), many).join(members, "id"), size)
     found = texts.select("text").mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
@@ -468,7 +471,7 @@ def _by_rare_shingles(texts: DataFrame, members: DataFrame, slim: DataFrame, per
     few = asked.filter(F.col("holders") <= BLOCK).join(slim.drop("n"), "id")
     pairs = few.groupBy("token").applyInArrow(_candidates(percent), "a long, b long").distinct()
     pairs = checkpointed(pairs.join(slim.select(F.col("id").alias("b"), "n"), "b").select("a", "b", "n"), many)
-    links = confirmed(texts.select("id", "text"), pairs, percent, size)
+    links = confirmed(texts.select("id", "text"), pairs, percent, size, many)
 
     crowd = asked.filter(F.col("holders") > BLOCK)
     if crowd.isEmpty():
@@ -504,10 +507,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near_duplicates(docs, id_col, text_col, percent)
     kind = docs.schema[id_col].dataType
     ids = checkpointed(found.select(F.col(id_col).cast(kind).alias("key"), "kept", "n_shingles"))
-    words = ids.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    rows, words = ids.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     ids = ids.filter("key is not null")
-    gone = ids.filter("not kept").select("key").distinct()
-    repeated = ids.filter("kept").groupBy("key").count().filter("count > 1").select("key")
+    gone = checkpointed(ids.filter("not kept").select("key").distinct(), rows * ROW_BYTES)
+    repeated = checkpointed(ids.filter("kept").groupBy("key").count().filter("count > 1").select("key"), rows * ROW_BYTES)
     key, row = fresh(docs.columns, "key"), fresh(docs.columns, "row")
     touched = gone.union(repeated)
     may, rest = bloom.split(docs, F.col(id_col), touched)

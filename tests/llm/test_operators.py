@@ -487,6 +487,38 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").isEmpty()
 
 
+def test_small_tables_take_few_tasks(spark):
+    """The driver keeps an account of every task: steps over few bytes don't take one for each shuffle partition, nor run twice."""
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def tasks(group, run):
+        sc.setJobGroup(group, group)
+        out = run()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        return out, sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+
+    chains = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 20], "a long, b long").coalesce(1)
+    keys = spark.range(0, 3000, 7, 1).withColumnRenamed("id", "key")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        found, of_chains = tasks("few-chains", lambda: components.components(chains, "a", "b"))
+        assert {(r.node, r.component) for r in found.collect()} == {(i, (i - 1) // 20 * 20 + 1) for i in range(1, 201)}
+        stars = found.filter("node != component").coalesce(1)
+        again, of_stars = tasks("few-stars", lambda: components.components(stars, "node", "component"))
+        assert sorted(again.collect()) == sorted(found.collect())
+        known, of_filter = tasks("few-keys", lambda: bloom.filter_of(keys))
+        assert keys.filter(known.has(F.col("key"))).count() == keys.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert of_chains < 1_000 and of_stars < 60 and of_filter < 60
+
+
 # --- 4 ------------------------------------------------------------------------------------------------
 
 
